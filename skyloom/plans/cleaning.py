@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators import rejects as R
 from skyloom.operators import units as U
+from skyloom.operators import wide as W
+from skyloom.operators.hierarchy import Forest
 from skyloom.session import table
 
 
@@ -43,5 +46,67 @@ def p4_changepoints(spark: SparkSession, d: str) -> DataFrame:
     return U.unit_histories(evidence.select(*UNIT_COLUMNS), records, conversions)
 
 
-QUERIES = {"p4_found": p4_found, "p4_normalized": p4_normalized, "p4_changepoints": p4_changepoints}
+def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, list[R.Layout]]:
+    layouts = R.read_layouts(table(spark, d, "native_layouts"))
+    return R.check_records(table(spark, d, "evidence_lake_native"), layouts), layouts
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return R.rejects(_checked(spark, d)[0]).select("native_row_id", "reason")
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Every reject with its place in the source, all its errors and the raw text."""
+    return R.rejects(_checked(spark, d)[0]).select("native_row_id", "source_member", "source_line_number", "reason", F.array_join("errors", ";").alias("errors"), "raw_row")
+
+
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """All valid records in typed columns; tables with other layouts have null there."""
+    checked, layouts = _checked(spark, d)
+    keep = ["native_row_id", "source_table", "source_line_number"]
+    out = None
+    for layout in layouts:
+        part = R.load_valid(checked, layout, keep)
+        part = part.select(*keep, *[F.col(c).alias(f"{layout.table}__{c}") for c in part.columns if c not in keep])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else checked.select(*keep)
+
+
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[W.Attribute]]:
+    attributes = W.read_catalog(table(spark, d, "quantity_catalog"))
+    return W.wide_rows(table(spark, d, "selected_facts"), table(spark, d, "stellar_parameter_evidence"), attributes), attributes
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    cells = W.filled_cells(*_wide(spark, d))
+    return cells.select(F.col("entity").alias("stable_object_key"), F.col("attribute").alias("quantity_key"), "selected_fact_id")
+
+
+def p5_wide(spark: SparkSession, d: str) -> DataFrame:
+    return W.typed_wide(*_wide(spark, d)).withColumnRenamed("entity", "stable_object_key")
+
+
+def _forest(spark: SparkSession, d: str) -> Forest:
+    return Forest(table(spark, d, "hierarchy_nodes"), table(spark, d, "hierarchy_edges"), "hierarchy_node_key", "parent_node_key", "child_node_key")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _forest(spark, d).places.select(F.col("key").alias("hierarchy_node_key"), F.col("root").alias("root_node_key"), "depth")
+
+
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _forest(spark, d).paths().withColumnRenamed("key", "hierarchy_node_key")
+
+
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    out = _forest(spark, d).descendants()
+    return out.withColumnsRenamed({"key": "hierarchy_node_key", "root": "root_node_key"})
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_rejects": p2_rejects, "p2_loaded": p2_loaded,
+    "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
+    "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_changepoints": p4_changepoints,
+    "p5_found": p5_found, "p5_wide": p5_wide,
+}
 ORACLES: dict[str, str] = {}
