@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import truth
+from skyloom.llm import packing, reading, tokenize, truth
 from skyloom.session import table
 
 
@@ -21,5 +21,42 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return winners.select(*GROUP, "quantity_key", "evidence_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """Truth discovery on the values themselves: methods vote per group and quantity without a trust order."""
+    evidence = table(spark, d, "stellar_parameter_evidence")
+    winners, _ = truth.discover_truth(truth.value_claims(evidence, table(spark, d, "unit_conversions")), GROUP, "quantity_key", "value", "method")
+    return winners.select(*GROUP, "quantity_key", F.col("value").alias("best_value"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, d, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are not restored by decoding their ids (none)."""
+    docs = table(spark, d, "documents")
+    back = tokenize.decode_ids(tokenize.encode_texts(docs)).withColumnRenamed("text", "decoded")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").where("text <> decoded").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_summary(p7_containers(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(p8_found(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_values": p1_values, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile,
+}
 ORACLES: dict[str, str] = {}
