@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions.numbers import once
 from skyloom.functions.units import MAX_POLICY_ROWS
 
 BLANKS = " \t"
@@ -69,19 +70,13 @@ def _blank(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS)) == ""
 
 
-def _quote_parts(raw: Column, layout: Layout) -> Column:
-    return F.split(raw, re.escape(layout.quote), -1)
-
-
-def _broken_quoting(raw: Column, layout: Layout) -> Column:
+def _broken_quoting(parts: Column, n: Column, layout: Layout) -> Column:
     """Split at the quote character, every second part is inside quotes. Outside
     parts must part fields: the first ends, the last begins with the delimiter,
     those between do both; an empty one between is a doubled quote. None may
     hold a line break. Linear in the length of the record, without recursion."""
     d = re.escape(layout.delimiter or ",")
     b = "[" + "".join(x for x in BLANKS if x != layout.delimiter) + "]*"
-    parts = _quote_parts(raw, layout)
-    n = F.size(parts)
 
     def wrong(part: Column, i: Column) -> Column:
         outside = i % 2 == 0
@@ -94,10 +89,8 @@ def _broken_quoting(raw: Column, layout: Layout) -> Column:
     return (n % 2 == 0) | F.exists(F.transform(parts, wrong), lambda x: x)
 
 
-def _quoted_fields(raw: Column, layout: Layout) -> Column:
+def _quoted_fields(parts: Column, n: Column, layout: Layout) -> Column:
     delimiter = layout.delimiter or ","
-    parts = _quote_parts(raw, layout)
-    n = F.size(parts)
 
     def shield(part: Column, i: Column) -> Column:
         inside = F.replace(F.replace(part, F.lit(MARK), F.lit(MARK + "a")), F.lit(delimiter), F.lit(MARK + "b"))
@@ -109,7 +102,7 @@ def _quoted_fields(raw: Column, layout: Layout) -> Column:
     return F.transform(fields, lambda x: F.replace(F.replace(x, F.lit(MARK + "b"), F.lit(delimiter)), F.lit(MARK + "a"), F.lit(MARK)))
 
 
-def _fields(raw: Column, layout: Layout) -> Column:
+def _fields(raw: Column, parts: Column, n: Column, layout: Layout) -> Column:
     """The record's fields as text without outer blanks; null for empty and null_token."""
     if layout.kind == "fixed_width":
         data = raw.cast("binary")
@@ -119,7 +112,7 @@ def _fields(raw: Column, layout: Layout) -> Column:
     elif layout.quote:
         # Without any quote the record is split directly.
         plain = F.split(raw, re.escape(layout.delimiter), -1)
-        fields = F.when(F.instr(raw, layout.quote) == 0, plain).otherwise(_quoted_fields(raw, layout))
+        fields = F.when(n == 1, plain).otherwise(_quoted_fields(parts, n, layout))
     else:
         fields = F.split(raw, re.escape(layout.delimiter), -1)
     empty = F.array(F.lit(""), F.lit(layout.null_token or ""))
@@ -163,7 +156,10 @@ def _by_layout(layouts: list[Layout], make, table: str) -> Column:
     return out
 
 
-def check_records(lines: DataFrame, layouts: list[Layout], table: str = "source_table", raw: str = "raw_row", line: str = "source_line_number") -> DataFrame:
+KEPT = ("native_row_id", "source_id", "source_table", "source_member", "source_line_number", "raw_row", "ingested_at")
+
+
+def check_records(lines: DataFrame, layouts: list[Layout], table: str = "source_table", raw: str = "raw_row", line: str = "source_line_number", keep: tuple[str, ...] = KEPT) -> DataFrame:
     """The records among ``lines`` with their ``fields`` (array of text) and ``errors``.
 
     Header lines, blank and null lines and comments are no records and are left
@@ -171,21 +167,25 @@ def check_records(lines: DataFrame, layouts: list[Layout], table: str = "source_
     for a line after the header. ``errors`` holds ``quoting``, ``column_count``
     and ``invalid_value:<field>`` in this order; a record with broken quoting
     or a wrong number of fields is not looked at further, because its fields
-    have no places. Repeated lines stay repeated; other columns are kept.
+    have no places. Repeated lines stay repeated. Of the columns those of
+    ``keep`` that exist are kept; others, whatever their names, are not read.
     """
+    lines = lines.select(*dict.fromkeys([*[c for c in keep if c in lines.columns], table, raw, line]))
     if not layouts:
         return lines.where(F.lit(False)).withColumns({"fields": F.lit(None).cast("array<string>"), "errors": F.lit(None).cast("array<string>")})
     r = F.col(raw)
     is_comment = _by_layout(layouts, lambda l: r.startswith(l.comment) if l.comment else F.lit(False), table)
     in_header = _by_layout(layouts, lambda l: F.coalesce(F.col(line) <= l.header_lines, F.lit(False)), table)
     records = lines.where(F.col(table).isin(*[l.table for l in layouts]) & r.isNotNull() & ~F.regexp_replace(r, r"\s+$", "").eqNullSafe("") & ~is_comment & ~in_header)
-    records = records.select(
-        "*",
-        F.inline(F.array(F.struct(
-            _by_layout(layouts, lambda l: _fields(r, l), table).alias("fields"),
-            _by_layout(layouts, lambda l: _broken_quoting(r, l) if l.kind == "delimited" and l.quote else F.lit(False), table).alias("_broken"),
-        ))),
-    )
+    # The parts between quotes are columns of their own: within a lambda they would be split again for every part.
+    records = once(records, _parts=_by_layout(layouts, lambda l: F.split(r, re.escape(l.quote), -1) if l.kind == "delimited" and l.quote else F.lit(None).cast("array<string>"), table))
+    records = once(records, _n=F.size("_parts"))
+    parts, n = F.col("_parts"), F.col("_n")
+    records = once(
+        records,
+        fields=_by_layout(layouts, lambda l: _fields(r, parts, n, l), table),
+        _broken=_by_layout(layouts, lambda l: _broken_quoting(parts, n, l) if l.kind == "delimited" and l.quote else F.lit(False), table),
+    ).drop("_parts", "_n")
 
     def errors(layout: Layout) -> Column:
         miss = _column_count(r, F.col("fields"), layout)
@@ -196,7 +196,7 @@ def check_records(lines: DataFrame, layouts: list[Layout], table: str = "source_
             each.append(F.when(bad, F.lit(f"invalid_value:{f.name}")))
         return F.when(F.col("_broken"), F.array(F.lit("quoting"))).when(miss, F.array(F.lit("column_count"))).otherwise(F.array_compact(F.array(*each)))
 
-    return records.select("*", F.inline(F.array(F.struct(_by_layout(layouts, errors, table).alias("errors"))))).drop("_broken")
+    return once(records, errors=_by_layout(layouts, errors, table)).drop("_broken")
 
 
 def rejects(checked: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from skyloom.storage import Scratch, small_side
 
 #: How far (in decades) a level may be from a known factor to be taken for it.
 LEVEL_TOLERANCE = 0.35
+EVIDENCE = ("evidence_id", "source_record_id", "quantity_key", "value_raw", "unit_raw", "normalized_value")
 
 
 def declared_units(dispositions: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -46,8 +47,10 @@ def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFra
     ``segments`` (see ``unit_histories``; a small table) that they fall into.
     A row with no number in ``value_raw``, or of a quantity without
     conversions, is not part of the result; repeated rows stay repeated; a null
-    ``source_record_id`` only loses the declared unit. Other columns are kept.
+    ``source_record_id`` only loses the declared unit. Only the columns of
+    ``EVIDENCE`` are read and kept, so others may have any names.
     """
+    evidence = evidence.select(*EVIDENCE)
     spark = evidence.sparkSession
     rows = conversion_rows(conversions)
     lookup = unit_lookup(spark, rows)

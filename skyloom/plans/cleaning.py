@@ -16,12 +16,8 @@ def _unit_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return tuple(table(spark, d, t) for t in ("stellar_parameter_evidence", "source_records", "source_field_dispositions", "unit_conversions"))
 
 
-UNIT_COLUMNS = ("evidence_id", "source_record_id", "quantity_key", "value_raw", "unit_raw", "normalized_value")
-
-
 def p4_resolved(spark: SparkSession, d: str) -> DataFrame:
     evidence, records, dispositions, conversions = _unit_inputs(spark, d)
-    evidence = evidence.select(*UNIT_COLUMNS)
     segments = U.unit_histories(evidence, records, conversions)
     return U.resolve_units(evidence, records, dispositions, conversions, segments)
 
@@ -43,7 +39,7 @@ def p4_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_changepoints(spark: SparkSession, d: str) -> DataFrame:
     evidence, records, _, conversions = _unit_inputs(spark, d)
-    return U.unit_histories(evidence.select(*UNIT_COLUMNS), records, conversions)
+    return U.unit_histories(evidence, records, conversions)
 
 
 def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, list[R.Layout]]:
