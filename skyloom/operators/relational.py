@@ -169,3 +169,20 @@ def expect_counts(df: DataFrame, column: str, expected: dict[str, int]) -> None:
     found = {r[column]: r["count"] for r in rows}
     if found != expected:
         raise ValueError(f"outcome counts changed: {found} instead of {expected}")
+
+
+def merge_json(old: Column, patch: Column) -> Column:
+    """Keys of a flat JSON object replaced by those of another; null values of the patch remove a key."""
+    kind = "map<string,string>"
+    both = F.map_concat(
+        F.map_filter(F.from_json(old, kind), lambda k, v: ~F.array_contains(F.coalesce(F.map_keys(F.from_json(patch, kind)), F.array().cast("array<string>")), k)),
+        F.map_filter(F.from_json(patch, kind), lambda k, v: v.isNotNull()),
+    )
+    return F.to_json(both)
+
+
+def source_delta(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key, change`` of a source snapshot: new, missing or changed; unchanged sources have no row."""
+    both = before.select(key, F.col(digest).alias("_a")).join(after.select(key, F.col(digest).alias("_b")), key, "full")
+    change = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "missing").when(F.col("_a") != F.col("_b"), "changed")
+    return both.select(key, change.alias("change")).where(F.col("change").isNotNull())
