@@ -59,4 +59,17 @@ QUERIES = {
     "p1_found": p1_found, "p1_values": p1_values, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": """
+WITH uq AS (SELECT DISTINCT quantity_key FROM unit_conversions), marks AS (SELECT ['', '-', '--', '...', '?', '??', 'n/a', 'nan', 'null', 'none', 'unknown'] AS m),
+e AS (SELECT evidence_id, parameter_set_id, quantity_key, trim(value_raw) AS t, normalized_value AS v, uncertainty_lower AS lo, uncertainty_upper AS up FROM stellar_parameter_evidence SEMI JOIN uq USING (quantity_key)),
+h AS (SELECT * FROM e WHERE CASE WHEN t IS NULL OR list_contains((SELECT m FROM marks), lower(t)) THEN v IS NOT NULL AND NOT isnan(v) AND abs(v) < 1e90 AND v NOT IN (-9999, -999.99)
+ ELSE regexp_matches(t, '^([<>~]|ca\\.|about)? *[+−-]?[0-9]') AND t NOT IN ('-9999', '-9999.0', '-999.99', '1e+99') END),
+had AS (SELECT parameter_set_id, quantity_key, min(evidence_id) AS ev, bool_or(coalesce(NOT isnan(lo) AND lo > 0, false) OR coalesce(NOT isnan(up) AND up > 0, false)) AS sure FROM h GROUP BY 1, 2),
+per AS (SELECT parameter_set_id, count(*) AS n, count(*) FILTER (WHERE sure) AS u FROM had GROUP BY 1),
+s AS (SELECT source_record_id, coalesce(component_scope, '') AS scope, parameter_set_id, min(authority_rank) AS a, max(retrieved_at) AS r FROM stellar_parameter_sets GROUP BY 1, 2, 3),
+g AS (SELECT source_record_id, scope FROM s GROUP BY 1, 2 HAVING count(*) > 1),
+w AS (SELECT source_record_id, scope, quantity_key, ev, row_number() OVER (PARTITION BY source_record_id, scope, quantity_key ORDER BY n DESC, u DESC, a NULLS LAST, r DESC NULLS LAST, parameter_set_id) AS rn
+ FROM s SEMI JOIN g USING (source_record_id, scope) JOIN per USING (parameter_set_id) JOIN had USING (parameter_set_id))
+SELECT source_record_id, scope AS component_scope, quantity_key, ev AS evidence_id FROM w WHERE rn = 1""",
+}
