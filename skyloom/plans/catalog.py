@@ -12,6 +12,7 @@ from skyloom.functions import text as X
 from skyloom.operators import graph as G
 from skyloom.operators import identity as I
 from skyloom.operators import relational as R
+from skyloom.operators import tags as T
 from skyloom.plans.registry import Registry
 
 reg = Registry()
@@ -265,4 +266,28 @@ def canonical_groups(t):
     return e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("c")), ",").alias("keys"))
 
 
+RULES = [
+    T.Rule("large", "at_least", "p_size", {"value": 40}), T.Rule("small", "at_most", "p_size", {"value": 5}), T.Rule("mid_price", "between", "p_retailprice", {"low": 950.0, "high": 1050.0}),
+    T.Rule("brand", "one_of", "p_brand", {"values": ["Brand#11", "Brand#23"]}), T.Rule("odd", "bit", "p_size", {"mask": 1}), T.Rule("ends_in_7", "matches", "p_name", {"pattern": "7$"}),
+]
+
+
+@query("""SELECT p_partkey, tag FROM (SELECT p_partkey, unnest([CASE WHEN p_size >= 40 THEN 'large' END, CASE WHEN p_size <= 5 THEN 'small' END, CASE WHEN p_retailprice >= 950 AND p_retailprice < 1050 THEN 'mid_price' END, CASE WHEN p_brand IN ('Brand#11', 'Brand#23') THEN 'brand' END, CASE WHEN p_size & 1 <> 0 THEN 'odd' END, CASE WHEN regexp_matches(p_name, '7$') THEN 'ends_in_7' END]) AS tag FROM part) WHERE tag IS NOT NULL""")
+def tag_evaluate(t):
+    return T.evaluate(t("part"), "p_partkey", RULES)
+
+
+@query("""SELECT l_suppkey, tag, count(DISTINCT l_partkey) AS n_members, min(l_partkey) AS first_member FROM lineitem JOIN (SELECT p_partkey AS l_partkey, unnest([CASE WHEN p_size >= 40 THEN 'large' END, CASE WHEN p_size & 1 <> 0 THEN 'odd' END]) AS tag FROM part) USING (l_partkey) WHERE tag IS NOT NULL GROUP BY 1, 2""")
+def tag_member_rollup(t):
+    tags = T.evaluate(t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", [RULES[0], RULES[4]])
+    return T.rollup(tags, t("lineitem").select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey")
+
+
+@query("""SELECT c_custkey, string_agg(p, ',' ORDER BY p) AS policies FROM (SELECT c_custkey, 'rich' AS p FROM customer WHERE c_acctbal > 5000 UNION SELECT o_custkey, 'urgent' FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT c_custkey, 'named' FROM customer WHERE c_name LIKE '%7') GROUP BY 1""")
+def representation_sets(t):
+    c = t("customer").select("c_custkey", "c_acctbal", "c_name")
+    u = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return T.representation({"rich": c.where("c_acctbal > 5000"), "urgent": u, "named": c.where("c_name LIKE '%7'")}, "c_custkey")
+
+
 QUERIES, ORACLES = reg.queries, reg.oracles

@@ -7,6 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.sources import artifacts as A
 from skyloom.sources import binary as B
 from skyloom.sources import text as T
 from skyloom.streaming.history import history_stream
@@ -101,3 +102,22 @@ def test_history_stream(spark, tmp_path, rows):
         history_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), ["k"], "f", "l", ["p"]).awaitTermination()
     got = [(k, str(f), str(l), p) for k, f, l, p in rows(spark.read.parquet(str(tmp_path / "out" / "v2")))]
     assert got == [("k", "2021-01-01", "2021-01-05", "b"), ("m", "2021-01-01", "2021-01-01", "c")]
+
+
+def test_artifacts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n{i}", None if i % 3 else 1.5) for i in range(50)], "k int, n string, d double")
+    manifest = A.write_artifact(df, str(tmp_path / "a"), ["k"])
+    assert manifest["n_rows"] == 50 and A.read_artifact(spark, str(tmp_path / "a")).count() == 50
+    df.where("k <> 3").write.mode("overwrite").parquet(str(tmp_path / "a" / "data"))
+    with pytest.raises(ValueError, match="manifest"):
+        A.read_artifact(spark, str(tmp_path / "a"))
+    A.write_serving(df, str(tmp_path / "s"), ["d"], "k")
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+
+
+def test_json_table_and_tiles(spark, tmp_path, rows):
+    (tmp_path / "t.json").write_text('{"fields": [{"name": "a", "type": "int"}, {"name": "b", "type": "char"}], "data": [[1, "x"], [null, "y"]]}')
+    assert rows(A.read_json_table(spark, str(tmp_path / "t.json"))) == [(1, "x"), (None, "y")]
+    p = spark.createDataFrame([("t", 2, 1.0, 2.0, 3.0), ("t", 1, 0.5, 0.0, 0.0), ("u", 3, 0.0, 0.0, 0.0)], "tile string, id long, x double, y double, z double")
+    got = {r["tile"]: (r["n"], bytes(r["payload"])) for r in A.tile_payloads(p, "tile", "id").collect()}
+    assert got["t"] == (2, struct.pack("<qfff", 1, 0.5, 0, 0) + struct.pack("<qfff", 2, 1, 2, 3)) and got["u"][0] == 1
