@@ -71,7 +71,8 @@ def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFra
     )
     units = F.broadcast(lookup.withColumnsRenamed({"u_quantity": "quantity_key", "u_form": "_form"}))
     known = stated.where(F.col("_own").isNotNull()).withColumnRenamed("_own", "_form").join(units, ["quantity_key", "_form"], "left")
-    other = stated.where(F.col("_own").isNull()).join(record, "source_record_id", "left").join(F.broadcast(declared), ["_source", "_release", "quantity_key"], "left")
+    declared = small_side(Scratch(spark, "declared"), declared)
+    other = stated.where(F.col("_own").isNull()).join(record, "source_record_id", "left").join(declared, ["_source", "_release", "quantity_key"], "left")
     other = other.withColumnRenamed("_declared", "_form").join(units, ["quantity_key", "_form"], "left")
     if segments is not None:
         other = _history_units(other, segments, lookup)

@@ -41,10 +41,10 @@ def prefix_rank(t):
 HASHED = "SELECT o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)) AS h FROM orders"
 
 
-@query(f"""WITH a AS ({HASHED}) SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM a JOIN (SELECT * FROM a WHERE o_orderkey % 3 = 0) b USING (h)""")
+@query(f"""WITH a AS ({HASHED}) SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM a JOIN a AS b USING (h)""")
 def content_hash_join(t):
     h = t("orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("h"))
-    return h.select(F.col("o_orderkey").alias("left_key"), "h").join(h.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("right_key"), "h"), "h").drop("h")
+    return h.select(F.col("o_orderkey").alias("left_key"), "h").join(h.select(F.col("o_orderkey").alias("right_key"), "h"), "h").drop("h")
 
 
 @query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON lower(regexp_replace(c_name, '[^0-9A-Za-z]+', '', 'g')) = 'customer' || lower(regexp_replace(replace(s_name, 'Supplier', ''), '[^0-9A-Za-z]+', '', 'g'))""")
@@ -196,14 +196,14 @@ def object_search(t):
     return s.where(F.contains("term", F.lit("00000001"))).groupBy("kind", "id").agg(F.min("p").alias("priority")).orderBy("priority", "id").limit(40)
 
 
-OWNERS = "SELECT o_orderkey AS s, o_orderkey // 3 AS d FROM orders WHERE o_orderkey BETWEEN 1 AND 3000"
+OWNERS = "SELECT o_orderkey AS s, o_orderkey // 3 AS d FROM orders WHERE o_orderkey > 0"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT d AS p, s AS c FROM ({OWNERS})), r AS (SELECT p AS owner, c AS node, 1 AS depth FROM e WHERE p BETWEEN 10 AND 20 UNION ALL SELECT owner, c, depth + 1 FROM r JOIN e ON node = p WHERE depth < 8 AND NOT (node BETWEEN 10 AND 20)) SELECT node, min(owner) AS owner, count(DISTINCT owner) AS n_owners FROM r GROUP BY 1""")
 def owner_propagation(t):
     """Owners handed down to all below them, stopping at nodes that are owners themselves."""
     k = F.col("o_orderkey")
-    e = t("orders").where("o_orderkey BETWEEN 1 AND 3000").select(F.floor(k / 3).alias("p"), k.alias("c"))
+    e = t("orders").where("o_orderkey > 0").select(F.floor(k / 3).alias("p"), k.alias("c"))
     owners = e.where("p BETWEEN 10 AND 20").select(F.col("p").alias("node")).distinct()
     inner = e.where("NOT (p BETWEEN 10 AND 20)").withColumn("w", F.lit(1.0))
     first = e.where("p BETWEEN 10 AND 20").select(F.col("p").alias("owner"), F.col("c").alias("start"))
