@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import packing, reading, tokenize, truth
+from skyloom.operators import units
 from skyloom.session import table
 
 
@@ -21,10 +22,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return winners.select(*GROUP, "quantity_key", "evidence_id")
 
 
+def _value_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The claims of every evidence row with a value; stated numbers in the common unit as p4 resolves them."""
+    evidence, records, dispositions, conversions = (table(spark, d, t) for t in ("stellar_parameter_evidence", "source_records", "source_field_dispositions", "unit_conversions"))
+    segments = units.unit_histories(evidence, records, conversions)
+    resolved = units.resolve_units(evidence, records, dispositions, conversions, segments, keep=("component_scope", "method"))
+    return truth.value_claims(evidence, resolved, conversions)
+
+
 def p1_values(spark: SparkSession, d: str) -> DataFrame:
     """Truth discovery on the values themselves: methods vote per group and quantity without a trust order."""
-    evidence = table(spark, d, "stellar_parameter_evidence")
-    winners, _ = truth.discover_truth(truth.value_claims(evidence, table(spark, d, "unit_conversions")), GROUP, "quantity_key", "value", "method")
+    winners, _ = truth.discover_truth(_value_claims(spark, d), GROUP, "quantity_key", "value", "method")
     return winners.select(*GROUP, "quantity_key", F.col("value").alias("best_value"))
 
 

@@ -38,7 +38,7 @@ def declared_units(dispositions: DataFrame, lookup: DataFrame) -> DataFrame:
     return known.groupBy("source_id", "release_id", "u_quantity").agg(F.min(F.struct("_p", "declared_form"))["declared_form"].alias("declared_form"))
 
 
-def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFrame, conversions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFrame, conversions: DataFrame, segments: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Evidence rows that state a number, with its unit and its value in the common unit.
 
     Adds ``number``, ``unit_key``, ``unit_basis`` (value, unit, declared,
@@ -48,9 +48,9 @@ def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFra
     A row with no number in ``value_raw``, or of a quantity without
     conversions, is not part of the result; repeated rows stay repeated; a null
     ``source_record_id`` only loses the declared unit. Only the columns of
-    ``EVIDENCE`` are read and kept, so others may have any names.
+    ``EVIDENCE`` and ``keep`` are read and kept, so others may have any names.
     """
-    evidence = evidence.select(*EVIDENCE)
+    evidence = evidence.select(*EVIDENCE, *keep)
     spark = evidence.sparkSession
     rows = conversion_rows(conversions)
     lookup = unit_lookup(spark, rows)
