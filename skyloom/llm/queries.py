@@ -32,8 +32,7 @@ def _value_claims(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_values(spark: SparkSession, d: str) -> DataFrame:
     """Truth discovery on the values themselves: methods vote per group and quantity without a trust order."""
-    winners, _ = truth.discover_truth(_value_claims(spark, d), GROUP, "quantity_key", "value", "method")
-    return winners.select(*GROUP, "quantity_key", F.col("value").alias("best_value"))
+    return truth.best_values(_value_claims(spark, d))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
