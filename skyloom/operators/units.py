@@ -70,10 +70,12 @@ def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFra
         F.col("source_id").alias("_source"), F.col("release_id").alias("_release"), F.col("u_quantity").alias("quantity_key"), F.col("declared_form").alias("_declared")
     )
     units = F.broadcast(lookup.withColumnsRenamed({"u_quantity": "quantity_key", "u_form": "_form"}))
-    known = stated.where(F.col("_own").isNotNull()).withColumnRenamed("_own", "_form").join(units, ["quantity_key", "_form"], "left")
+    own = stated.withColumn("_form", F.col("_own")).join(units, ["quantity_key", "_form"], "left")
+    known = own.where(F.col("unit_key").isNotNull())
     declared = small_side(Scratch(spark, "declared"), declared)
-    other = stated.where(F.col("_own").isNull()).join(record, "source_record_id", "left").join(declared, ["_source", "_release", "quantity_key"], "left")
-    other = other.withColumnRenamed("_declared", "_form").join(units, ["quantity_key", "_form"], "left")
+    # A text of unknown spelling still speaks against the declared unit.
+    other = own.where(F.col("unit_key").isNull()).select(*stated.columns).join(record, "source_record_id", "left").join(declared, ["_source", "_release", "quantity_key"], "left")
+    other = other.withColumn("_form", F.when(F.col("_own").isNull(), F.col("_declared"))).join(units, ["quantity_key", "_form"], "left")
     if segments is not None:
         other = _history_units(other, segments, lookup)
     out = known.unionByName(other.select(known.columns))

@@ -37,6 +37,11 @@ def p4_normalized(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def p4_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Every stated number whose unit neither its texts nor its history tell."""
+    return p4_resolved(spark, d).where("verdict = 'unknown'").select("evidence_id", "quantity_key", "value_raw", "unit_raw")
+
+
 def p4_changepoints(spark: SparkSession, d: str) -> DataFrame:
     evidence, records, _, conversions = _unit_inputs(spark, d)
     return U.unit_histories(evidence, records, conversions)
@@ -102,7 +107,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_rejects": p2_rejects, "p2_loaded": p2_loaded,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
-    "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_changepoints": p4_changepoints,
+    "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_unknown": p4_unknown, "p4_changepoints": p4_changepoints,
     "p5_found": p5_found, "p5_wide": p5_wide,
 }
 NO_VALUE = "('', '-', '--', '---', '...', '?', '??', 'n/a', 'na', 'n.a.', 'nan', 'null', 'none', 'nil', 'unknown', 'inf', '-inf', '+inf')"

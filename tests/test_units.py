@@ -131,3 +131,18 @@ def test_empty_tables(spark):
     none = r.limit(0)
     assert U.resolve_units(e, none, d.limit(0), c, U.unit_histories(e, none, c)).count() == 0
     assert U.resolve_units(e, none, d.limit(0), c.limit(0)).count() == 0
+
+
+def test_unknown_spelling_takes_the_unit_of_its_history(spark, rows):
+    t0, t1 = datetime(2021, 1, 1), datetime(2022, 1, 1)
+    conversions = spark.createDataFrame(CONVERSIONS, "quantity_key string, unit_key string, common_unit string, conversion string, factor double, shift double")
+    records = spark.createDataFrame([("r", "s", "1", t0), ("late", "s", "1", t1)], "source_record_id string, source_id string, release_id string, retrieved_at timestamp_ntz")
+    dispositions = spark.createDataFrame([("s", "1", "effective_temperature", "K", None)], "source_id string, release_id string, source_field string, source_unit string, source_description string")
+    segments = spark.createDataFrame([("s", "effective_temperature", t0, t1, "kK")], "source_id string, quantity_key string, starts_at timestamp_ntz, ends_at timestamp_ntz, unit_key string")
+    row = lambda e, r, raw, unit: (e, r, "effective_temperature", raw, unit, None)
+    evidence = spark.createDataFrame([row("e1", "r", "5.5", "heat"), row("e2", "r", "5.5 heat", None), row("e3", "late", "5.5 heat", None), row("e4", "r", "5500", None), row("e5", "r", "5.5", "kK"), row("e6", None, "5.5", "heat")],
+                                     "evidence_id string, source_record_id string, quantity_key string, value_raw string, unit_raw string, normalized_value double")
+    out = U.resolve_units(evidence, records, dispositions, conversions, segments)
+    assert rows(out, "evidence_id", "unit_key", "unit_basis", "common_value", "verdict") == [
+        ("e1", "kK", "history", 5500.0, "missing"), ("e2", "kK", "history", 5500.0, "missing"), ("e3", None, None, None, "unknown"), ("e4", "K", "declared", 5500.0, "missing"), ("e5", "kK", "unit", 5500.0, "missing"), ("e6", None, None, None, "unknown"),
+    ]
