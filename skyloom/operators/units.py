@@ -28,7 +28,7 @@ def declared_units(dispositions: DataFrame, lookup: DataFrame) -> DataFrame:
     gives in brackets, after ``unit`` or after ``given in``. Null keys are left out.
     """
     d = F.col("source_description")
-    patterns = (r"(?i)\[units?:?\s*([^\]]*(?:\[[^\]]*\])?[^\]]*)\]", r"(?i)[;,]\s*units?:?\s+(.+?)\s*$", r"(?i)given in\s+(.+?)\s*$", r"\(((?:[^()]|\([^()]*\))*)\)\s*$")
+    patterns = (r"(?i)\[units?:?\s*((?:[^\[\]]|\[[^\[\]]*\])*)\]", r"(?i)[;,]\s*units?:?\s+(.+?)\s*$", r"(?i)given in\s+(.+?)\s*$", r"\(((?:[^()]|\([^()]*\))*)\)\s*$")
     texts = [F.col("source_unit"), *[F.regexp_extract(d, p, 1) for p in patterns]]
     each = dispositions.select(
         "source_id", "release_id", F.col("source_field").alias("u_quantity"),
