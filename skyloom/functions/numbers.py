@@ -13,7 +13,8 @@ MISSING_MARKERS = ("", "-", "--", "---", "...", "?", "??", "n/a", "na", "n.a.",
 
 #: Fill numbers that no measured value has.
 FILL_NUMBERS = (-9999.0, -999.99, -99999.0, -9999.99, -999.9, -999.0)
-FILL_MAGNITUDE = 1e90
+#: From here on a number is a fill: no quantity of a star reaches it in any unit (ages in seconds end near 1e18, luminosities in erg/s near 1e41).
+FILL_MAGNITUDE = 1e60
 
 NUMBER = r"[+\-−]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?|[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-−]?[0-9]+)?(?:\s*[x×]\s*10\^?[+\-−]?[0-9]+)?"
 SIGN = r"(?:[<>~≈≤≥=]+|(?:ca|about|approx|circa)\b\.?)"

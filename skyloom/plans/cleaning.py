@@ -121,9 +121,9 @@ r AS (SELECT k, k AS root, 0 AS depth FROM n WHERE k NOT IN (SELECT c FROM e) UN
 SELECT n.k AS hierarchy_node_key, coalesce(root, '') AS root_node_key, CAST(coalesce(depth, -1) AS INTEGER) AS depth FROM n LEFT JOIN r ON r.k = n.k""",
     "p5_found": f"""
 WITH c AS (SELECT quantity_key AS q, value_type AS vt, lower(regexp_replace(unnest(list_append(other_names, quantity_key)), '[ _-]+', '', 'g')) AS form FROM quantity_catalog),
-ev AS (SELECT evidence_id, min(normalized_value) AS ev FROM stellar_parameter_evidence WHERE NOT isnan(normalized_value) AND abs(normalized_value) < 1e90 AND normalized_value NOT IN (-9999, -999.99) GROUP BY 1),
+ev AS (SELECT evidence_id, min(normalized_value) AS ev FROM stellar_parameter_evidence WHERE NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) GROUP BY 1),
 f AS (SELECT lower(trim(stable_object_key)) AS k, q, vt, trim(value_raw) AS t, selected_fact_id AS id, authority_rank AS r, selected_at AS s, ev,
- CASE WHEN NOT isnan(normalized_value) AND abs(normalized_value) < 1e90 AND normalized_value NOT IN (-9999, -999.99) THEN normalized_value END AS v
+ CASE WHEN NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) THEN normalized_value END AS v
  FROM selected_facts JOIN c ON form = lower(regexp_replace(quantity_key, '[ _-]+', '', 'g')) LEFT JOIN ev USING (evidence_id) WHERE trim(stable_object_key) <> ''),
 g AS (SELECT k, q, id, r, s FROM f WHERE CASE vt WHEN 'double' THEN coalesce(v, ev) IS NOT NULL WHEN 'bigint' THEN regexp_full_match(t, '[+-]?[0-9]+') AND t <> '-9999'
  WHEN 'boolean' THEN lower(t) IN ('1', 'true', 't', 'yes', 'y', 'on', '0', 'false', 'f', 'no', 'n', 'off') WHEN 'timestamp' THEN TRY_CAST(t AS TIMESTAMP) IS NOT NULL AND regexp_matches(t, '^[0-9]{{4}}-') ELSE t IS NOT NULL AND lower(t) NOT IN {NO_VALUE} END)

@@ -16,7 +16,7 @@ STATED = [
     ("ca. 1.0127e+01", 10.127, ""), ("about 5 K", 5.0, "K"), ("1,041,032", 1041032.0, ""), ("−0.5 Dex", -0.5, "Dex"), ("1.003 x 10^0", 1.003, ""), ("1.084×10^-1 g/cc", 0.1084, "g/cc"),
     ("10087.6 ± 742", 10087.6, ""), ("1.02e+30 ± 1.6e+28 kg", 1.02e30, "kg"), ("8.25 10^3 K", 8.25, "10^3 K"), ("0.9 (log10(cm s-2))", 0.9, "(log10(cm s-2))"), ("+12.5 ± 0.3 (d)", 12.5, "(d)"),
     ("n/a", None, ""), ("...", None, ""), ("--", None, ""), ("", None, ""), ("   ", None, ""), ("NaN", None, ""), ("-9999", None, ""), ("-999.99", None, ""), ("1e+99", None, ""), ("-9999.0", None, ""),
-    (None, None, None),
+    ("2.4e60", None, ""), ("9.9e59", 9.9e59, ""), (None, None, None),
 ]
 
 
@@ -114,6 +114,21 @@ def test_history_gives_the_unit_no_text_names(spark):
     assert {(x["unit_key"], x["unit_basis"], x["verdict"]) for x in out.collect()} == {("jupMass", "history", "right")}
 
 
+DESCRIBED = [
+    ("see note", "x [unit: [cm/s2]]", "[cm/s2]"), (None, "x [unit: dex(cm/s2)]", "dex(cm/s2)"), (" ", "x; unit [cm s-2]", "[cms-2]"), (None, "x, given in log10(cm s-2)", "log10(cms-2)"), (None, "x (log(cm/s2))", "log(cm/s2)"),
+    ("cgs dex", "x [unit: gal]", "cgsdex"), (None, "x, adopted value", None), (None, None, None),
+]
+
+
+def test_declared_units_from_descriptions(spark):
+    from skyloom.functions.units import unit_lookup
+
+    rows = [{"quantity_key": "g", "unit_key": u, "common_unit": "dex_cgs", "conversion": "linear", "factor": 1.0, "shift": 0.0} for u in ("dex_cgs", "cm_s2")]
+    d = spark.createDataFrame([(f"s{i}", "1", "g", u, t) for i, (u, t, _) in enumerate(DESCRIBED)], "source_id string, release_id string, source_field string, source_unit string, source_description string")
+    got = {r["source_id"]: r["declared_form"] for r in U.declared_units(d, unit_lookup(spark, rows)).collect()}
+    assert [got.get(f"s{i}") for i in range(len(DESCRIBED))] == [form for _, _, form in DESCRIBED]
+
+
 def test_claims(spark, rows):
     claim = "struct<claim_id:string,subject:string,predicate:string,value:string,unit:string>"
     p = "star.mass_msun"
