@@ -107,3 +107,12 @@ def to_common(value: Column, conversion: Column, factor: Column, shift: Column)
         .when(conversion == "log10", F.when(scaled > 0, F.log10(scaled) + shift))
         .when(conversion == "exp10", F.when(F.abs(value) < 300, F.pow(F.lit(10.0), value) * factor))
     )
+
+
+def from_common(value: Column, conversion: Column, factor: Column, shift: Column) -> Column:
+    """The number that states ``value`` (in the common unit) in another unit: ``to_common`` reversed."""
+    return (
+        F.when(conversion == "linear", (value - shift) / factor)
+        .when(conversion == "log10", F.when(F.abs(value - shift) < 300, F.pow(F.lit(10.0), value - shift) / factor))
+        .when(conversion == "exp10", F.when(value / factor > 0, F.log10(value / factor)))
+    )

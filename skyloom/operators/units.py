@@ -1,24 +1,28 @@
 """Quantities recorded in different units: one common unit for every stated number.
 
-``resolve_units`` reads the unit from the text that states it. Histories whose
-rows name no unit anywhere are segmented by ``changepoint.history_segments``;
-the level of a segment against the known level of its quantity picks the
-factor, and with it the unit, that reverses the shift.
+A number whose own text names a unit is read with it. The other numbers of a
+source form one history per quantity, release after release, which
+``changepoint.history_segments`` cuts into segments of constant level; shifts as
+large as a known factor mark changes of unit, and the sequence of units that
+explains levels and shifts best gives each segment its unit. An exact check
+follows: where the source's field list declares a unit, that one stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numbers import is_missing_text, number_value, once, real_value, stated_rest, stated_text, with_stated
-from skyloom.functions.units import conversion_rows, to_common, unit_form, unit_lookup
-from skyloom.operators.changepoint import history_segments
+from skyloom.functions.units import conversion_rows, from_common, to_common, unit_form, unit_lookup
+from skyloom.operators.changepoint import Level, history_segments, time_bin
 from skyloom.storage import Scratch, small_side
 
-#: How far (in decades) a level may be from a known factor to be taken for it.
-LEVEL_TOLERANCE = 0.35
-EVIDENCE = ("evidence_id", "source_record_id", "quantity_key", "value_raw", "unit_raw", "normalized_value")
+EVIDENCE = ("evidence_id", "source_record_id", "quantity_key", "normalized_value")
+#: Days in a bin of a history.
+BIN_DAYS = 1
 
 
 def declared_units(dispositions: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -38,107 +42,155 @@ def declared_units(dispositions: DataFrame, lookup: DataFrame) -> DataFrame:
     return known.groupBy("source_id", "release_id", "u_quantity").agg(F.min(F.struct("_p", "declared_form"))["declared_form"].alias("declared_form"))
 
 
-def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFrame, conversions: DataFrame, segments: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Evidence rows that state a number, with its unit and its value in the common unit.
+def _conversion_table(spark, rows: list[dict]) -> DataFrame:
+    """``quantity_key, unit_key, conversion, factor, shift``, one row per pair; its size is that of the policy table."""
+    data = [(r["quantity_key"], r["unit_key"], r["conversion"], float(r["factor"]), float(r["shift"])) for r in rows]
+    return spark.createDataFrame(data, "quantity_key string, unit_key string, conversion string, factor double, shift double")
 
-    Adds ``number``, ``unit_key``, ``unit_basis`` (value, unit, declared,
-    history), ``common_value``, ``verdict`` (right, wrong, missing, unknown).
-    Rows whose texts name no known unit take that of the changepoint segment of
-    ``segments`` (see ``unit_histories``; a small table) that they fall into.
-    A row with no number in ``value_raw``, or of a quantity without
-    conversions, is not part of the result; repeated rows stay repeated; a null
-    ``source_record_id`` only loses the declared unit. Only the columns of
-    ``EVIDENCE`` and ``keep`` are read and kept, so others may have any names.
+
+def stated_numbers(scratch: Scratch, evidence: DataFrame, rows: list[dict], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The evidence rows that state a number, with the unit their own text names.
+
+    ``evidence`` is read and its texts are parsed once; all later steps read
+    the written result: ``EVIDENCE`` and ``keep``, ``number``, ``unit_key`` (null if
+    the text names no known one), ``basis`` (value, unit, or declared if no text names any).
     """
-    evidence = evidence.select(*EVIDENCE, *keep)
-    spark = evidence.sparkSession
-    rows = conversion_rows(conversions)
-    lookup = unit_lookup(spark, rows)
+    lookup = unit_lookup(evidence.sparkSession, rows)
     quantities = sorted({r["quantity_key"] for r in rows})
-    stated = with_stated(evidence.where(F.col("quantity_key").isin(*quantities)), "value_raw", "number", "_rest").where(F.col("number").isNotNull())
-    in_value, in_unit = ~is_missing_text(F.col("_rest")), ~is_missing_text(F.col("unit_raw"))
+    columns = list(dict.fromkeys((*EVIDENCE, *keep)))
+    base = evidence.where(F.col("quantity_key").isin(*quantities)).select(*columns, F.col("value_raw").alias("_value"), F.col("unit_raw").alias("_unit"))
+    stated = with_stated(base, "_value", "_number", "_rest").where(F.col("_number").isNotNull())
+    in_value, in_unit = ~is_missing_text(F.col("_rest")), ~is_missing_text(F.col("_unit"))
     stated = once(
         stated,
-        _own=unit_form(F.when(in_value, F.col("_rest")).when(in_unit, F.col("unit_raw"))),
+        _form=unit_form(F.when(in_value, F.col("_rest")).when(in_unit, F.col("_unit"))),
         _basis=F.when(in_value, "value").when(in_unit, "unit").otherwise("declared"),
-    ).drop("_rest")
-    # One record per id: deliveries repeat. AQE splits a record id that holds a large share of the rows.
+    )
+    units = F.broadcast(lookup.select(F.col("u_quantity").alias("quantity_key"), F.col("u_form").alias("_form"), F.col("unit_key").alias("_key")))
+    return scratch.write(stated.join(units, ["quantity_key", "_form"], "left").select(*columns, F.col("_number").alias("number"), F.col("_key").alias("unit_key"), F.col("_basis").alias("basis")))
+
+
+def silent_numbers(scratch: Scratch, stated: DataFrame, records: DataFrame) -> DataFrame:
+    """The stated numbers without a unit of their own, with ``source_id, epoch`` (the release, '' for null) and ``seen_at`` of their record.
+
+    One record per id: deliveries repeat. AQE splits a record id that holds a large share of the rows.
+    """
     record = records.where(F.col("source_record_id").isNotNull()).groupBy("source_record_id").agg(
-        F.min("source_id").alias("_source"), F.min("release_id").alias("_release"), F.max("retrieved_at").alias("_seen")
+        F.min("source_id").alias("source_id"), F.coalesce(F.min("release_id"), F.lit("")).alias("epoch"), F.max("retrieved_at").alias("seen_at")
     )
+    silent = stated.where(F.col("unit_key").isNull()).drop("unit_key")
+    return scratch.write(silent.join(record, "source_record_id", "left").withColumn("bin", time_bin(F.col("seen_at"), BIN_DAYS)))
+
+
+def unit_levels(stated: DataFrame, rows: list[dict]) -> dict[str, list[Level]]:
+    """Where log10 of a quantity lies in each of its units, from the numbers whose text names their unit.
+
+    Each such number is brought to the common unit and from there to every unit
+    of its quantity, so units with an offset or a logarithm have a level too. One row per
+    policy row reaches the driver.
+    """
+    units = F.broadcast(_conversion_table(stated.sparkSession, rows))
+    common = stated.where(F.col("unit_key").isNotNull()).select("quantity_key", "number", "unit_key").join(units, ["quantity_key", "unit_key"])
+    common = common.select("quantity_key", to_common(F.col("number"), F.col("conversion"), F.col("factor"), F.col("shift")).alias("common"))
+    each = common.join(units, "quantity_key").select("quantity_key", "unit_key", F.abs(from_common(F.col("common"), F.col("conversion"), F.col("factor"), F.col("shift"))).alias("v"))
+    level = F.when((F.col("v") > 0) & (F.col("v") < 1e300), F.log10("v"))
+    linear = {(r["quantity_key"], r["unit_key"]): float(r["factor"]) for r in rows if r["conversion"] == "linear" and not r["shift"] and r["factor"] > 0}
+    out: dict[str, list[Level]] = {}
+    for r in each.groupBy("quantity_key", "unit_key").agg(F.avg(level).alias("mean"), F.stddev_pop(level).alias("spread")).orderBy("quantity_key", "unit_key").collect():
+        if r["mean"] is not None:
+            factor = linear.get((r["quantity_key"], r["unit_key"]))
+            out.setdefault(r["quantity_key"], []).append(Level(r["unit_key"], r["mean"], r["spread"], None if factor is None else math.log10(factor)))
+    return out
+
+
+def history_bins(stated: DataFrame, silent: DataFrame, rows: list[dict]) -> DataFrame:
+    """The bins of the histories of silent numbers with their segments and units (see ``history_segments``)."""
+    rows_with_source = silent.where(F.col("source_id").isNotNull()).select("source_id", "quantity_key", "epoch", "seen_at", "number")
+    return history_segments(rows_with_source, ["source_id", "quantity_key"], "seen_at", "number", bin_days=BIN_DAYS, epoch="epoch", units=("quantity_key", unit_levels(stated, rows)))
+
+
+def _silent_units(scratch: Scratch, stated: DataFrame, silent: DataFrame, dispositions: DataFrame, rows: list[dict]) -> DataFrame:
+    """The silent numbers with ``inferred`` (by their history) and ``declared`` (by the field list) unit."""
+    lookup = unit_lookup(silent.sparkSession, rows)
+    bins = history_bins(stated, silent, rows).where("unit_key IS NOT NULL").select("source_id", "quantity_key", "epoch", "bin", F.col("unit_key").alias("inferred"))
     declared = declared_units(dispositions, lookup).select(
-        F.col("source_id").alias("_source"), F.col("release_id").alias("_release"), F.col("u_quantity").alias("quantity_key"), F.col("declared_form").alias("_declared")
+        "source_id", F.coalesce("release_id", F.lit("")).alias("epoch"), F.col("u_quantity").alias("quantity_key"), F.col("declared_form").alias("_form")
     )
-    units = F.broadcast(lookup.withColumnsRenamed({"u_quantity": "quantity_key", "u_form": "_form"}))
-    own = stated.withColumn("_form", F.col("_own")).join(units, ["quantity_key", "_form"], "left")
-    known = own.where(F.col("unit_key").isNotNull())
-    declared = small_side(Scratch(spark, "declared"), declared)
+    units = lookup.select(F.col("u_quantity").alias("quantity_key"), F.col("u_form").alias("_form"), F.col("unit_key").alias("declared"))
+    declared = declared.join(F.broadcast(units), ["quantity_key", "_form"]).groupBy("source_id", "epoch", "quantity_key").agg(F.min("declared").alias("declared"))
+    out = silent.join(small_side(scratch, bins), ["source_id", "quantity_key", "epoch", "bin"], "left").join(small_side(scratch, declared), ["source_id", "epoch", "quantity_key"], "left")
     # A text of unknown spelling still speaks against the declared unit.
-    other = own.where(F.col("unit_key").isNull()).select(*stated.columns).join(record, "source_record_id", "left").join(declared, ["_source", "_release", "quantity_key"], "left")
-    other = other.withColumn("_form", F.when(F.col("_own").isNull(), F.col("_declared"))).join(units, ["quantity_key", "_form"], "left")
-    if segments is not None:
-        other = _history_units(other, segments, lookup)
-    out = known.unionByName(other.select(known.columns))
-    out = out.withColumn("common_value", to_common(F.col("number"), F.col("conversion"), F.col("factor"), F.col("shift")))
-    norm, common = real_value(F.col("normalized_value")), F.col("common_value")
-    verdict = F.when(common.isNull(), "unknown").when(norm.isNull(), "missing").when(F.abs(norm - common) > 0.01 * F.abs(common), "wrong").otherwise("right")
-    basis = F.when(F.col("unit_key").isNotNull(), F.col("_basis"))
-    return out.select(*evidence.columns, "number", "unit_key", basis.alias("unit_basis"), "common_value", verdict.alias("verdict"))
+    return out.withColumn("declared", F.when(F.col("basis") == "declared", F.col("declared")))
 
 
-def _history_units(rows: DataFrame, segments: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Fills the unit of rows without one from the segment of their source, quantity and time.
+def _inputs(evidence: DataFrame, records: DataFrame, conversions: DataFrame, keep: tuple[str, ...] = ()) -> tuple[Scratch, list[dict], DataFrame, DataFrame]:
+    scratch = Scratch(evidence.sparkSession, "units")
+    rows = conversion_rows(conversions)
+    stated = stated_numbers(scratch, evidence, rows, keep)
+    return scratch, rows, stated, silent_numbers(scratch, stated, records)
+
+
+def resolve_units(evidence: DataFrame, records: DataFrame, dispositions: DataFrame, conversions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence rows that state a number, with its unit and its value in the common unit.
+
+    Adds ``number``, ``unit_key``, ``unit_basis``, ``common_value``, ``verdict`` (right, wrong, missing,
+    unknown). ``unit_basis``: ``value`` or ``unit``, the text that names the unit;
+    ``history``, the segment of the row's history, not contradicted by the field
+    list; ``declared``, the field list alone (the histories name no unit or another one).
 
-    The intervals of a history do not overlap, so a row meets at most one
-    segment. The segments are written once; they are broadcast if few enough.
+    A row with no number in ``value_raw``, or of a quantity without
+    conversions, is not part of the result; repeated rows stay repeated; a null
+    ``source_record_id`` only loses history and declaration. Only the columns of
+    ``EVIDENCE`` and ``keep`` are kept, so others may have any names.
     """
-    conversions = lookup.dropDuplicates(["u_quantity", "unit_key"]).drop("u_form")
-    seg = (
-        segments.where("unit_key IS NOT NULL").select("source_id", F.col("quantity_key").alias("u_quantity"), "starts_at", "ends_at", "unit_key").join(F.broadcast(conversions), ["u_quantity", "unit_key"])
-        .select(
-            F.col("source_id").alias("s_source"), F.col("u_quantity").alias("s_quantity"), F.col("starts_at").cast("timestamp_ntz").alias("s_from"), F.col("ends_at").cast("timestamp_ntz").alias("s_to"),
-            *[F.col(c).alias(f"s_{c}") for c in ("unit_key", "conversion", "factor", "shift")],
-        )
-    )
-    on = F.expr("unit_key IS NULL AND _source = s_source AND quantity_key = s_quantity AND _seen >= s_from AND _seen < s_to")
-    out = rows.join(small_side(Scratch(rows.sparkSession, "segments"), seg), on, "left")
-    return out.withColumn("_basis", F.when(F.col("unit_key").isNull() & F.col("s_unit_key").isNotNull(), "history").otherwise(F.col("_basis"))).withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"s_{c}")) for c in ("unit_key", "conversion", "factor", "shift")}
+    scratch, rows, stated, silent = _inputs(evidence, records, conversions, keep)
+    out_columns = [c for c in stated.columns if c not in ("number", "unit_key", "basis")]
+    settled = _silent_units(scratch, stated, silent, dispositions, rows).select(
+        *out_columns, "number", F.coalesce("declared", "inferred").alias("unit_key"),
+        F.when(F.col("inferred").isNotNull() & (F.col("declared").isNull() | (F.col("declared") == F.col("inferred"))), "history").when(F.col("declared").isNotNull(), "declared").alias("unit_basis"),
     )
+    known = stated.where(F.col("unit_key").isNotNull()).select(*out_columns, "number", "unit_key", F.col("basis").alias("unit_basis"))
+    out = known.unionByName(settled).join(F.broadcast(_conversion_table(evidence.sparkSession, rows)), ["quantity_key", "unit_key"], "left")
+    out = out.withColumn("common_value", to_common(F.col("number"), F.col("conversion"), F.col("factor"), F.col("shift")))
+    return out.select(*out_columns, "number", "unit_key", "unit_basis", "common_value", _verdict(F.col("normalized_value"), F.col("common_value")).alias("verdict"))
 
 
-def unit_histories(evidence: DataFrame, records: DataFrame, conversions: DataFrame, bin_days: int = 30) -> DataFrame:
-    """Changepoint segments of each source's stated numbers and the unit their level speaks for.
+def _verdict(delivered: Column, common: Column) -> Column:
+    norm = real_value(delivered)
+    return F.when(common.isNull(), "unknown").when(norm.isNull(), "missing").when(F.abs(norm - common) > 0.01 * F.abs(common), "wrong").otherwise("right")
 
-    A history is the numbers a source states for a quantity without a unit of
-    their own, in order of retrieval. ``unit_key`` is the unit whose conversion
-    brings the segment's level nearest to the level of the normalized values of
-    the quantity, if within ``LEVEL_TOLERANCE`` decades; ``factor_log10`` is the
-    shift that reverses it. Only linear conversions without an offset move a
-    level; other units are not inferred. Empty input gives no rows.
+
+def unit_histories(evidence: DataFrame, records: DataFrame, conversions: DataFrame) -> DataFrame:
+    """The changepoint segments of each source's silent numbers and the units they speak for.
+
+    ``source_id, quantity_key, segment, first_epoch, last_epoch, starts_at, ends_at`` (of all its
+    bins), ``n_rows, level, spread, shift, unit_key`` (null if no unit fits or two fit alike),
+    ``factor_log10`` (what brings a linear unit to the common one, null for others), ``margin``. Empty input gives no rows.
     """
-    spark = evidence.sparkSession
-    rows = [r for r in conversion_rows(conversions) if r["conversion"] == "linear" and not r["shift"] and r["factor"] > 0]
-    factors = spark.createDataFrame(
-        [(r["quantity_key"], r["unit_key"], float(r["factor"])) for r in rows] or [("", "", 1.0)], "quantity_key string, unit_key string, factor double"
-    )
-    base = evidence.where(F.col("quantity_key").isin(*sorted({r["quantity_key"] for r in rows})))
-    silent = with_stated(base.where(is_missing_text(F.col("unit_raw"))).select("source_record_id", "quantity_key", "value_raw"), "value_raw", "number", "_rest")
-    silent = silent.where(F.col("number").isNotNull() & is_missing_text(F.col("_rest"))).select("source_record_id", "quantity_key", "number")
-    record = records.where(F.col("source_record_id").isNotNull()).groupBy("source_record_id").agg(F.min("source_id").alias("source_id"), F.max("retrieved_at").alias("seen_at"))
-    segments = history_segments(silent.join(record, "source_record_id"), ["source_id", "quantity_key"], "seen_at", "number", bin_days=bin_days)
-    value = real_value(F.col("normalized_value"))
-    usual = base.where(value > 0).groupBy("quantity_key").agg(F.avg(F.log10(value)).alias("usual_level"))
-    near = segments.join(F.broadcast(factors), "quantity_key", "left").join(F.broadcast(usual), "quantity_key", "left")
-    miss = F.abs(F.col("level") + F.log10("factor") - F.col("usual_level"))
+    _, rows, stated, silent = _inputs(evidence, records, conversions)
+    bins = history_bins(stated, silent, rows)
+    linear = [(r["quantity_key"], r["unit_key"], math.log10(r["factor"])) for r in rows if r["conversion"] == "linear" and not r["shift"] and r["factor"] > 0]
+    factors = bins.sparkSession.createDataFrame(linear or [("", "", 0.0)], "quantity_key string, unit_key string, factor_log10 double")
     keys = ["source_id", "quantity_key", "segment"]
-    return near.groupBy(*keys).agg(
-        F.first("starts_at").alias("starts_at"), F.first("ends_at").alias("ends_at"), F.first("n_rows").alias("n_rows"),
-        F.first("level").alias("level"), F.first("shift").alias("shift"),
-        F.min(F.struct(miss.alias("miss"), "unit_key", F.log10("factor").alias("f"))).alias("_m"),
-    ).select(
-        *keys, "starts_at", "ends_at", "n_rows", F.round("level", 6).alias("level"), F.round("shift", 6).alias("shift"),
-        F.when(F.col("_m.miss") <= LEVEL_TOLERANCE, F.col("_m.unit_key")).alias("unit_key"), F.round("_m.f", 6).alias("factor_log10"),
+    ends = [F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"), F.min("starts_at").alias("starts_at"), F.max("ends_at").alias("ends_at")]
+    same = [F.first(c).alias(c) for c in ("segment_rows", "level", "spread", "shift", "unit_key", "margin")]
+    out = bins.groupBy(*keys).agg(*ends, *same).join(F.broadcast(factors), ["quantity_key", "unit_key"], "left")
+    return out.select(
+        *keys, "first_epoch", "last_epoch", "starts_at", "ends_at", F.col("segment_rows").alias("n_rows"), *[F.round(c, 6).alias(c) for c in ("level", "spread", "shift")],
+        "unit_key", F.round("factor_log10", 6).alias("factor_log10"), F.round("margin", 3).alias("margin"),
+    )
+
+
+def inference_quality(evidence: DataFrame, records: DataFrame, dispositions: DataFrame, conversions: DataFrame) -> DataFrame:
+    """How often the histories, which never see a declared unit, name it.
+
+    ``quantity_key, unit_key`` (declared), ``n_rows``, ``n_inferred`` (a unit was named), ``n_right``, over
+    the silent numbers with a declared unit.
+    """
+    scratch, rows, stated, silent = _inputs(evidence, records, conversions)
+    both = _silent_units(scratch, stated, silent, dispositions, rows).where("declared IS NOT NULL")
+    return both.groupBy("quantity_key", F.col("declared").alias("unit_key")).agg(
+        F.count("*").alias("n_rows"), F.count("inferred").alias("n_inferred"), F.count_if(F.col("inferred") == F.col("declared")).alias("n_right")
     )
 
 

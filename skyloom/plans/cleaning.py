@@ -16,10 +16,8 @@ def _unit_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return tuple(table(spark, d, t) for t in ("stellar_parameter_evidence", "source_records", "source_field_dispositions", "unit_conversions"))
 
 
-def p4_resolved(spark: SparkSession, d: str) -> DataFrame:
-    evidence, records, dispositions, conversions = _unit_inputs(spark, d)
-    segments = U.unit_histories(evidence, records, conversions)
-    return U.resolve_units(evidence, records, dispositions, conversions, segments)
+def p4_resolved(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return U.resolve_units(*_unit_inputs(spark, d), keep=keep)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +37,7 @@ def p4_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_unknown(spark: SparkSession, d: str) -> DataFrame:
     """Every stated number whose unit neither its texts nor its history tell."""
-    return p4_resolved(spark, d).where("verdict = 'unknown'").select("evidence_id", "quantity_key", "value_raw", "unit_raw")
+    return p4_resolved(spark, d, ("value_raw", "unit_raw")).where("verdict = 'unknown'").select("evidence_id", "quantity_key", "value_raw", "unit_raw")
 
 
 def p4_changepoints(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +45,11 @@ def p4_changepoints(spark: SparkSession, d: str) -> DataFrame:
     return U.unit_histories(evidence, records, conversions)
 
 
+def p4_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Units inferred from the histories against the declared ones, which they never see."""
+    return U.inference_quality(*_unit_inputs(spark, d))
+
+
 def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, list[R.Layout]]:
     layouts = R.read_layouts(table(spark, d, "native_layouts"))
     return R.check_records(table(spark, d, "evidence_lake_native"), layouts), layouts
@@ -107,7 +110,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_rejects": p2_rejects, "p2_loaded": p2_loaded,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
-    "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_unknown": p4_unknown, "p4_changepoints": p4_changepoints,
+    "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_unknown": p4_unknown, "p4_changepoints": p4_changepoints, "p4_inference": p4_inference,
     "p5_found": p5_found, "p5_wide": p5_wide,
 }
 NO_VALUE = "('', '-', '--', '---', '...', '?', '??', 'n/a', 'na', 'n.a.', 'nan', 'null', 'none', 'nil', 'unknown', 'inf', '-inf', '+inf')"

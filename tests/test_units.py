@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.numbers import with_stated
 from skyloom.functions.units import unit_form
 from skyloom.operators import units as U
-from skyloom.operators.changepoint import history_segments, optimal_segments
+from skyloom.operators.changepoint import Level, history_segments, optimal_segments, unit_path
 
 STATED = [
     ("5.172", 5.172, ""), ("  0.0014767 ", 0.0014767, ""), ("1.7992e+30KG", 1.7992e30, "KG"), ("<3.2 km/s", 3.2, "km/s"), ("~-0.07 dex(sol)", -0.07, "dex(sol)"),
@@ -64,9 +64,40 @@ def test_changepoints_are_exact():
 
 def test_history_segments_find_a_unit_change(spark):
     data = [("a", datetime(2021, 1 + i // 20, 1 + i % 20), (5000.0 if i < 120 else 5.0) * (1 + 0.01 * (i % 5))) for i in range(200)]
-    out = history_segments(spark.createDataFrame([*data, ("a", None, 1.0), ("a", datetime(2021, 1, 1), None), ("b", datetime(2021, 1, 1), 7.0)], "src string, at timestamp, v double"), ["src"], "at", "v").orderBy("src", "segment").collect()
-    assert [(r["src"], r["segment"], r["n_rows"]) for r in out] == [("a", 0, 120), ("a", 1, 80), ("b", 0, 1)]
-    assert out[1]["shift"] == pytest.approx(-3.0, abs=0.01)
+    df = spark.createDataFrame([*data, ("a", None, 1.0), ("a", datetime(2021, 1, 1), None), ("b", datetime(2021, 1, 1), 7.0)], "src string, at timestamp, v double")
+    bins = history_segments(df, ["src"], "at", "v")
+    out = bins.groupBy("src", "segment").agg(F.sum("n_rows").alias("n"), F.max("segment_rows").alias("m"), F.max("shift").alias("shift"), F.count("*").alias("bins")).orderBy("src", "segment").collect()
+    assert [(r["src"], r["segment"], r["n"], r["m"], r["bins"]) for r in out] == [("a", 0, 120, 120, 120), ("a", 1, 80, 80, 80), ("b", 0, 1, 1, 1)]
+    assert out[1]["shift"] == pytest.approx(-3.0, abs=0.01) and out[0]["shift"] is None
+
+
+def test_histories_run_release_by_release(spark):
+    """Two releases of the same months in different units: time alone would mix them, the release order parts them."""
+    rng = np.random.default_rng(1)
+    data = [(r, datetime(2021, 1 + i % 12, 1 + i % 27), float(10 ** rng.normal(3.7 if r == "r1" else 0.7, 0.1))) for i in range(150) for r in ("r1", "r2")]
+    df = spark.createDataFrame([("s", "q", *x) for x in data], "src string, q string, rel string, at timestamp, v double")
+    units = {"q": [Level("K", 3.7, 0.1, 0.0), Level("kK", 0.7, 0.1, 3.0)]}
+    out = history_segments(df, ["src", "q"], "at", "v", epoch="rel", units=("q", units))
+    assert {(r["epoch"], r["segment"], r["unit_key"]) for r in out.collect()} == {("r1", 0, "K"), ("r2", 1, "kK")}
+
+
+def test_unit_path_is_the_cheapest_sequence():
+    from itertools import product
+
+    from skyloom.operators.changepoint import LEVEL_TOLERANCE, SHIFT_TOLERANCE
+
+    rng = np.random.default_rng(2)
+    units = [Level("a", 0.0, 0.5, 0.0), Level("b", 3.0, 0.5, -3.0), Level("c", 0.4, 0.05, None)]
+    for _ in range(20):
+        levels, spreads = list(rng.normal(1, 2, 4)), list(rng.uniform(0.02, 0.6, 4))
+        def cost(path):
+            own = sum(((m - u.mean) / LEVEL_TOLERANCE) ** 2 + np.log(s / u.spread) ** 2 for m, s, u in zip(levels, spreads, path))
+            return own + sum(min(((levels[i + 1] - levels[i] - path[i + 1].mean + path[i].mean) / SHIFT_TOLERANCE) ** 2, 50.0) for i in range(3))
+        best = min(product(units, repeat=4), key=cost)
+        for (unit, margin), chosen in zip(unit_path(levels, spreads, units), best):
+            assert unit in (None, chosen.unit) and margin >= 0
+    assert unit_path([0.1], [0.5], [Level("a", 0.0, 0.5, 0.0), Level("b", 0.01, 0.5, 0.0)])[0][0] is None  # two units fit alike
+    assert unit_path([7.0], [0.5], units[:2])[0][0] is None and unit_path([1.0], [0.1], []) == [(None, 0.0)]
 
 
 CONVERSIONS = [
@@ -103,15 +134,25 @@ def test_units_from_value_field_and_source(spark):
     ]
 
 
-def test_history_gives_the_unit_no_text_names(spark):
+def stated_masses(n=60):
+    """Masses whose own text names the unit: what tells the levels of the units of a mass."""
+    return [(f"y{i}", None, "mass", f"{0.8 + 0.4 * i / n:.3f} Msun", None, 1.0, None, None) for i in range(n)]
+
+
+def test_history_gives_the_unit_no_text_names(spark, rows):
     m = "mass"
     records = [(f"q{i}", "t", "v1", datetime(2021, 1 + i % 6, 1)) for i in range(60)]
-    evidence = [(f"x{i}", f"q{i}", m, f"{1047 + i % 7}", None, 1.0, None, None) for i in range(60)]
-    e, r, d, c = tables(spark, evidence, records)
-    segments = U.unit_histories(e, r, c)
-    assert {x["unit_key"] for x in segments.collect()} == {"jupMass"}
-    out = U.resolve_units(e, r, d, c, segments)
-    assert {(x["unit_key"], x["unit_basis"], x["verdict"]) for x in out.collect()} == {("jupMass", "history", "right")}
+    evidence = [(f"x{i}", f"q{i}", m, f"{1047 * (0.8 + 0.4 * i / 60):.1f}", None, 1.0, None, None) for i in range(60)]
+    e, r, d, c = tables(spark, [*evidence, *stated_masses()], records)
+    segments = U.unit_histories(e, r, c).collect()
+    assert [(x["unit_key"], x["n_rows"], x["segment"]) for x in segments] == [("jupMass", 60, 0)]
+    out = U.resolve_units(e, r, d, c).where("unit_basis <> 'value'")
+    assert {(x["unit_key"], x["unit_basis"]) for x in out.collect()} == {("jupMass", "history")} and out.count() == 60
+    # The field list confirms, or stands against, what the history says.
+    fields = spark.createDataFrame([("t", "v1", m, "M_J", None)], d.schema)
+    assert rows(U.inference_quality(e, r, fields, c)) == [(m, "jupMass", 60, 60, 60)]
+    other = spark.createDataFrame([("t", "v1", m, "Msun", None)], d.schema)
+    assert {(x["unit_key"], x["unit_basis"]) for x in U.resolve_units(e, r, other, c).where("unit_basis <> 'value'").collect()} == {("solMass", "declared")}
 
 
 DESCRIBED = [
@@ -144,20 +185,27 @@ def test_claims(spark, rows):
 def test_empty_tables(spark):
     e, r, d, c = tables(spark, [])
     none = r.limit(0)
-    assert U.resolve_units(e, none, d.limit(0), c, U.unit_histories(e, none, c)).count() == 0
-    assert U.resolve_units(e, none, d.limit(0), c.limit(0)).count() == 0
+    assert U.resolve_units(e, none, d.limit(0), c).count() == 0 and U.unit_histories(e, none, c).count() == 0
+    assert U.resolve_units(e, none, d.limit(0), c.limit(0)).count() == 0 and U.inference_quality(e, none, d, c).count() == 0
 
 
 def test_unknown_spelling_takes_the_unit_of_its_history(spark, rows):
-    t0, t1 = datetime(2021, 1, 1), datetime(2022, 1, 1)
-    conversions = spark.createDataFrame(CONVERSIONS, "quantity_key string, unit_key string, common_unit string, conversion string, factor double, shift double")
-    records = spark.createDataFrame([("r", "s", "1", t0), ("late", "s", "1", t1)], "source_record_id string, source_id string, release_id string, retrieved_at timestamp_ntz")
-    dispositions = spark.createDataFrame([("s", "1", "effective_temperature", "K", None)], "source_id string, release_id string, source_field string, source_unit string, source_description string")
-    segments = spark.createDataFrame([("s", "effective_temperature", t0, t1, "kK")], "source_id string, quantity_key string, starts_at timestamp_ntz, ends_at timestamp_ntz, unit_key string")
-    row = lambda e, r, raw, unit: (e, r, "effective_temperature", raw, unit, None)
-    evidence = spark.createDataFrame([row("e1", "r", "5.5", "heat"), row("e2", "r", "5.5 heat", None), row("e3", "late", "5.5 heat", None), row("e4", "r", "5500", None), row("e5", "r", "5.5", "kK"), row("e6", None, "5.5", "heat")],
-                                     "evidence_id string, source_record_id string, quantity_key string, value_raw string, unit_raw string, normalized_value double")
-    out = U.resolve_units(evidence, records, dispositions, conversions, segments)
-    assert rows(out, "evidence_id", "unit_key", "unit_basis", "common_value", "verdict") == [
-        ("e1", "kK", "history", 5500.0, "missing"), ("e2", "kK", "history", 5500.0, "missing"), ("e3", None, None, None, "unknown"), ("e4", "K", "declared", 5500.0, "missing"), ("e5", "kK", "unit", 5500.0, "missing"), ("e6", None, None, None, "unknown"),
+    m = "mass"
+    records = [(f"q{i}", "t", "v1", datetime(2021, 1 + i % 6, 1)) for i in range(60)]
+    evidence = [(f"x{i}", f"q{i}", m, f"{1047 * (0.8 + 0.4 * i / 60):.1f}", None, 1.0, None, None) for i in range(60)]
+    odd = [("e1", "q1", m, "1047", "heft", None, None, None), ("e2", "q1", m, "1047 heft", None, None, None, None), ("e3", "r1", m, "5.5 heft", None, None, None, None), ("e4", None, m, "5.5", "heft", None, None, None)]
+    e, r, d, c = tables(spark, [*evidence, *odd, *stated_masses()], [*records, ("r1", "s", "v1", datetime(2021, 1, 1))])
+    out = U.resolve_units(e, r, d, c, keep=("value_raw",)).where("evidence_id LIKE 'e%'")
+    assert rows(out, "evidence_id", "unit_key", "unit_basis", "verdict", "value_raw") == [
+        ("e1", "jupMass", "history", "missing", "1047"), ("e2", "jupMass", "history", "missing", "1047 heft"), ("e3", None, None, "unknown", "5.5 heft"), ("e4", None, None, "unknown", "5.5"),
     ]
+
+
+@pytest.mark.parametrize("kind,factor,shift", [("linear", 1000.0, 0.0), ("linear", 1.0, 273.15), ("log10", 100.0, 0.5), ("exp10", 1e-9, 0.0)])
+def test_conversions_can_be_reversed(spark, kind, factor, shift):
+    from skyloom.functions.units import from_common, to_common
+
+    df = spark.createDataFrame([(v, kind, factor, shift) for v in (0.5, 3.7, 10.1)], "v double, k string, f double, s double")
+    args = [F.col(c) for c in ("k", "f", "s")]
+    for r in df.select("v", from_common(to_common(F.col("v"), *args), *args).alias("w")).collect():
+        assert r["w"] == pytest.approx(r["v"])
