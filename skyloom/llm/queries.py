@@ -25,8 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _value_claims(spark: SparkSession, d: str) -> DataFrame:
     """The claims of every evidence row with a value; stated numbers in the common unit as p4 resolves them."""
     evidence, records, dispositions, conversions = (table(spark, d, t) for t in ("stellar_parameter_evidence", "source_records", "source_field_dispositions", "unit_conversions"))
-    segments = units.unit_histories(evidence, records, conversions)
-    resolved = units.resolve_units(evidence, records, dispositions, conversions, segments, keep=("component_scope", "method"))
+    resolved = units.resolve_units(evidence, records, dispositions, conversions, keep=("component_scope", "method"))
     return truth.value_claims(evidence, resolved, conversions)
 
 
