@@ -112,13 +112,18 @@ def history_bins(stated: DataFrame, silent: DataFrame, rows: list[dict]) -> Data
 def _silent_units(scratch: Scratch, stated: DataFrame, silent: DataFrame, dispositions: DataFrame, rows: list[dict]) -> DataFrame:
     """The silent numbers with ``inferred`` (by their history) and ``declared`` (by the field list) unit."""
     lookup = unit_lookup(silent.sparkSession, rows)
-    bins = history_bins(stated, silent, rows).where("unit_key IS NOT NULL").select("source_id", "quantity_key", "epoch", "bin", F.col("unit_key").alias("inferred"))
+    era = ["source_id", "quantity_key", "epoch"]
+    runs = history_bins(stated, silent, rows).where("unit_key IS NOT NULL").groupBy(*era, "segment").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.min("unit_key").alias("unit"))
+    # One row per source, quantity and release with its few segments, which do not overlap.
+    runs = runs.groupBy(*era).agg(F.collect_list(F.struct("first", "last", "unit")).alias("runs"))
     declared = declared_units(dispositions, lookup).select(
         "source_id", F.coalesce("release_id", F.lit("")).alias("epoch"), F.col("u_quantity").alias("quantity_key"), F.col("declared_form").alias("_form")
     )
     units = lookup.select(F.col("u_quantity").alias("quantity_key"), F.col("u_form").alias("_form"), F.col("unit_key").alias("declared"))
     declared = declared.join(F.broadcast(units), ["quantity_key", "_form"]).groupBy("source_id", "epoch", "quantity_key").agg(F.min("declared").alias("declared"))
-    out = silent.join(small_side(scratch, bins), ["source_id", "quantity_key", "epoch", "bin"], "left").join(small_side(scratch, declared), ["source_id", "epoch", "quantity_key"], "left")
+    out = silent.join(small_side(scratch, runs), era, "left").join(small_side(scratch, declared), ["source_id", "epoch", "quantity_key"], "left")
+    within = F.filter("runs", lambda r: (r["first"] <= F.col("bin")) & (F.col("bin") <= r["last"]))
+    out = out.withColumn("inferred", F.get(within, F.lit(0))["unit"]).drop("runs")
     # A text of unknown spelling still speaks against the declared unit.
     return out.withColumn("declared", F.when(F.col("basis") == "declared", F.col("declared")))
 
