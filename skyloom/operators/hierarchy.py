@@ -1,32 +1,133 @@
 """Parent-child links to full hierarchies with Euler tours and list ranking.
 
-The links are peeled from their open ends by pointer jumping: every round
-peels twice as many levels, and what can't be peeled lies on a cycle or below
-one. Over the remaining trees a linked list of enter and exit marks (an Euler
-tour) is built with equi joins only, and parallel list ranking turns it into
-entry and exit numbers. Those give depth, root, and by containment of intervals
-ancestors and descendants.
-
-Scale: ids are dense longs, each round is one shuffle join on them over a
-written table, and there are log2(depth) rounds of peeling and log2(tree size)
-of ranking. Siblings are ordered by one global range sort, so a parent with a
-third of all children is spread over many tasks.
+Leaves are peeled off first. The chains of the inner nodes are followed to
+their tops by pointer jumping (``chase``), which peels twice as many levels each
+round; what reaches no top lies on a cycle or below one. Over the inner nodes of the remaining
+trees an Euler tour is linked with equi joins only, each enter mark
+carrying the weight of its leaves, and parallel list ranking (``chase`` again)
+turns it into entry and exit numbers. Those give depth, root, leaf counts, and by
+containment of intervals ancestors and descendants.
+
+Scale: ids are dense longs; a round of ``chase`` is one shuffle join on them over
+written tables, only rows not yet at their end are carried on, and there are
+log2(longest chain) rounds until so few rows are open that one task can follow
+them. Siblings are ordered by one global range sort, so a parent with a third of
+all children is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.storage import Scratch
 
 MAX_ROUNDS = 64  # 2**64 levels or nodes; reaching it means a fault, which is raised
+#: Open rows (of some longs each) that one task follows to their ends; more are followed in shuffle rounds.
+BLOCK_ROWS = 200_000
 
 
 def _any(df: DataFrame, condition: Column) -> bool:
     return not df.where(condition).select(F.lit(1)).isEmpty()
 
 
+def _follow(sums: list[str]):
+    """Follows all chains within one block of rows ``e, nxt, tail, *sums``; a row with a tail is an end."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        # A row that was met at its end counts before the same row still open.
+        rows = rows.sort_values(["e", "tail"], na_position="last").drop_duplicates("e")
+        e = rows["e"].to_numpy("int64")
+        end = rows["tail"].notna().to_numpy()
+        nxt = rows["nxt"].fillna(-1).to_numpy("int64")
+        to = np.minimum(np.searchsorted(e, nxt), max(len(e) - 1, 0))
+        to = np.where(end, np.arange(len(e)), to)
+        total = rows[sums].to_numpy("int64") if sums else np.zeros((len(e), 0), "int64")
+        way = np.where(end[:, None], 0, total)
+        for _ in range(max(len(e), 1).bit_length() + 1):
+            way = way + way[to]
+            to = to[to]
+        reached = end[to]
+        out = pd.DataFrame({"e": e, "tail": pd.array(np.where(reached, rows["tail"].fillna(-1).to_numpy("int64")[to], -1), "Int64")})
+        out.loc[~reached, "tail"] = pd.NA
+        for i, c in enumerate(sums):
+            out[c] = np.where(reached, way[:, i] + total[to, i], 0)
+        yield out
+
+    return solve
+
+
+def chase(scratch: Scratch, marks: DataFrame, sums: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """Follows every chain of ``marks`` (``e``, unique; ``nxt``, another ``e`` or null at an end; long ``sums``) to its end.
+
+    ``e, tail, *sums``: the end of the chain and the sums from the mark to the end, both included;
+    a null tail (and sums of no meaning) where the chain runs into a cycle.
+    """
+    marks = scratch.write(marks.select("e", "nxt", *[F.col(c).cast("long").alias(c) for c in sums]))
+    done = [marks.where("nxt IS NULL").select("e", F.col("e").alias("tail"), *sums)]
+    open_ = marks.where("nxt IS NOT NULL")
+    n, last = open_.count(), None
+    for _ in range(MAX_ROUNDS):
+        if n == 0 or n == last:
+            break  # no chain came to its end in a whole round: the rest circles
+        ended = reduce(lambda a, b: a.unionByName(b), done)
+        if n <= block:
+            met = F.broadcast(open_).withColumnsRenamed({c: f"_{c}" for c in sums}).withColumnRenamed("e", "_e").join(ended.withColumnRenamed("e", "nxt"), "nxt")
+            met = scratch.write(met.select(F.col("_e").alias("e"), F.lit(None).cast("long").alias("nxt"), "tail", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums]))
+            rows = met.unionByName(open_.withColumn("tail", F.lit(None).cast("long"))).coalesce(1)
+            schema = ", ".join(["e long", "tail long", *[f"{c} long" for c in sums]])
+            return ended.unionByName(scratch.write(rows.mapInPandas(_follow(sums), schema)))
+        far = open_.select(F.col("e").alias("nxt"), F.col("nxt").alias("n2"), F.lit(None).cast("long").alias("tail"), *[F.col(c).alias(f"_{c}") for c in sums])
+        near = ended.select(F.col("e").alias("nxt"), F.lit(None).cast("long").alias("n2"), "tail", *[F.col(c).alias(f"_{c}") for c in sums])
+        step = open_.join(far.unionByName(near), "nxt").select("e", F.col("n2").alias("nxt"), "tail", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
+        step = scratch.write(step)
+        done.append(step.where("nxt IS NULL").select("e", "tail", *sums))
+        open_ = step.where("nxt IS NOT NULL").select("e", "nxt", *sums)
+        last, n = n, open_.count()
+    else:
+        raise RuntimeError("chains did not end")
+    return reduce(lambda a, b: a.unionByName(b), [*done, open_.select("e", F.lit(None).cast("long").alias("tail"), *sums)])
+
+
+def _tagged(k: int):
+    return lambda i: F.struct(F.lit(k).alias("k"), i.cast("bigint").alias("i"))
+
+
+#: Blocks of ``contained`` are powers of 2**RADIX_BITS wide.
+RADIX_BITS = 4
+
+
+def contained(points: DataFrame, spans: DataFrame, tree: str, at: str, low: str, high: str) -> DataFrame:
+    """Pairs of points and spans of the same ``tree`` with ``low < at < high``, by equi joins only.
+
+    A span is cut into aligned blocks of the powers of 16, at most 30 of each; a
+    point lies in one block of each power that is no wider than the widest span. No
+    tree, however large, is compared pair by pair, and trees without a span
+    drop out first. Column names of the two sides must differ but for ``tree``.
+    """
+    widest = spans.agg(F.max(F.col(high) - F.col(low)).alias("w")).first()["w"] or 1
+    levels = range(max(int(widest), 1).bit_length() // RADIX_BITS + 1)
+    radix = 1 << RADIX_BITS
+    blocks = []
+    for k in levels:
+        size = 1 << (RADIX_BITS * k)
+        a, b = F.expr(f"shiftright(`{low}` + {size}, {RADIX_BITS * k})"), F.expr(f"shiftright(`{high}`, {RADIX_BITS * k})")  # the whole blocks of this width in the span: [a, b)
+        up, down = F.ceil(a / radix) * radix, F.floor(b / radix) * radix  # those of the next width: [up, down)
+        run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        mine = F.when(up > down, run(a, b)).otherwise(F.concat(run(a, up), run(down, b)))
+        blocks.append(F.transform(mine, _tagged(k)))
+    cut = spans.withColumn("_b", F.explode(F.flatten(F.array(*blocks)))).select("*", F.col("_b.k").alias("_k"), F.col("_b.i").alias("_i")).drop("_b")
+    near = points.join(spans.select(tree).distinct(), tree, "left_semi")
+    places = near.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_i", F.expr(f"shiftright(`{at}`, {RADIX_BITS} * _k)"))
+    return places.join(cut, [tree, "_k", "_i"]).drop("_k", "_i")
+
+
 def dense_index(scratch: Scratch, df: DataFrame, *order: str, name: str = "g") -> DataFrame:
     """``df`` sorted by ``order`` with a dense 0-based long index, without a one-partition window.
 
@@ -54,10 +155,11 @@ class Forest:
     ``places``: ``key, root, depth`` (int), ``entry, exit`` (long; a node is
     below another of the same root iff its entry lies strictly within the
     other's interval), ``parent``. On or below a cycle: root '', depth -1, null
-    intervals, null parent. Empty tables give no rows.
+    intervals, null parent. ``n_leaves``: the leaves at or below it. Empty tables give no rows.
     """
 
-    def __init__(self, nodes: DataFrame, links: DataFrame, node: str, parent: str, child: str):
+    def __init__(self, nodes: DataFrame, links: DataFrame, node: str, parent: str, child: str, block: int = BLOCK_ROWS):
+        self.block = block
         self.scratch = Scratch(nodes.sparkSession, "forest")
         write = self.scratch.write
         keys = nodes.select(F.col(node).alias("key")).where("key IS NOT NULL").distinct()
@@ -80,33 +182,19 @@ class Forest:
         write, links = self.scratch.write, self.links
         degree = links.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("pk", "p"))["p"].alias("p"))
         inner = links.select(F.col("p").alias("v")).distinct()
-        # up: null at a top. Tops are roots (no parent) and junctions.
+        # Tops are roots (no parent) and junctions.
         start = inner.join(degree.withColumnRenamed("c", "v"), "v", "left")
-        state = write(start.select("v", F.when(F.col("n") == 1, F.col("p")).alias("up"), F.col("v").alias("top")))
-        last = None
-        for _ in range(MAX_ROUNDS):
-            b = state.select(F.col("v").alias("a"), F.col("up").alias("b_up"), F.col("top").alias("b_top"))
-            new = write(
-                state.withColumnRenamed("up", "a").join(b, "a", "left")
-                .select("v", F.when(F.col("a").isNotNull(), F.col("b_up")).alias("up"), F.when(F.col("a").isNotNull(), F.col("b_top")).otherwise(F.col("top")).alias("top"))
-            )
-            self.scratch.drop(state)
-            state = new
-            left = state.where("up IS NOT NULL").count()
-            if left == 0 or left == last:
-                break  # no node was settled in a whole round: depths are contiguous, so the rest circles
-            last = left
-        else:
-            raise RuntimeError("peeling did not end")
+        state = chase(self.scratch, start.select(F.col("v").alias("e"), F.when(F.col("n") == 1, F.col("p")).alias("nxt")), [], self.block)
         # Junctions: peel those whose parents' tops are all good, until nothing changes.
-        circling = state.where("up IS NOT NULL").select("v")
-        tops = state.where("up IS NULL").select("v", "top")
+        circling = state.where("tail IS NULL").select(F.col("e").alias("v"))
+        tops = state.where("tail IS NOT NULL").select(F.col("e").alias("v"), F.col("tail").alias("top"))
         # Leaves with several parents are junctions too.
         multi = degree.where("n > 1").select(F.col("c").alias("j"))
         arcs = links.join(multi.withColumnRenamed("j", "c"), "c", "left_semi").select(F.col("c").alias("j"), F.col("p").alias("v"))
         place = tops.unionByName(circling.withColumn("top", F.lit(-1).cast("long")))
         arcs = write(arcs.join(place, "v").select("j", "top").distinct())
         pending = write(arcs.join(multi.withColumnRenamed("j", "top"), "top", "left_semi").select("j", "top").unionByName(arcs.where("top = -1")).distinct())
+        # One round per level of junctions that hang below each other, as every parent counts; trees need none.
         n = pending.count()
         while n:
             # A junction stays while one of its tops is circling or a junction that stays.
@@ -128,60 +216,51 @@ class Forest:
         return write(good.select("p", "c"))
 
     def _tour(self) -> DataFrame:
-        """Entry, exit, depth and root of every node by list ranking.
+        """Entry, exit, depth, root and leaves of every node by list ranking over the inner nodes.
 
-        Mark 2v enters node v and 2v+1 leaves it; a leaf has one mark of weight
-        two. ``w`` counts and ``b`` balances the marks from one to the end of its
-        tour, which ends by leaving the root.
+        Mark 2v enters node v and 2v+1 leaves it. The leaves of v come right
+        behind its enter mark, which has their weight. ``w`` counts marks, ``b`` balances
+        them and ``l`` counts leaves from a mark to the end of its tour, which ends by leaving the root.
         """
         write = self.scratch.write
-        order = write(dense_index(self.scratch, self.tree, "p", "c"))
-        a = order.select("g", F.col("p").alias("ap"), F.col("c").alias("ac"))
-        b = order.select((F.col("g") - 1).alias("g"), F.col("p").alias("bp"), F.col("c").alias("bc"))
-        pairs = a.join(b, "g", "full")
-        inner = order.select(F.col("p").alias("ac")).distinct().withColumn("inner", F.lit(True))
-        # A sibling that follows, or the parent's exit.
-        after = pairs.where("ac IS NOT NULL").select("ac", F.when(F.col("bp") == F.col("ap"), F.col("bc") * 2).otherwise(F.col("ap") * 2 + 1).alias("nxt"))
-        after = after.join(inner, "ac", "left")
-        leaving = after.select(F.when(F.col("inner"), F.col("ac") * 2 + 1).otherwise(F.col("ac") * 2).alias("e"), "nxt", F.when(F.col("inner"), F.lit(1)).otherwise(F.lit(2)).cast("long").alias("w"), F.when(F.col("inner"), F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("b"))
-        first = pairs.where("bp IS NOT NULL AND (ap IS NULL OR ap <> bp)").select((F.col("bp") * 2).alias("e"), (F.col("bc") * 2).alias("nxt"), F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("b"))
-        roots = order.select(F.col("p").alias("v")).distinct().join(order.select(F.col("c").alias("v")), "v", "left_anti")
-        ends = roots.select((F.col("v") * 2 + 1).alias("e"), F.lit(None).cast("long").alias("nxt"), F.lit(1).cast("long").alias("w"), F.lit(-1).cast("long").alias("b"))
-        marks = write(leaving.unionByName(first).unionByName(ends).withColumn("tail", F.col("e")))
-        for _ in range(MAX_ROUNDS):
-            if not _any(marks, F.col("nxt").isNotNull()):
-                break
-            ahead = marks.select(F.col("e").alias("nxt"), F.col("nxt").alias("n2"), F.col("w").alias("w2"), F.col("b").alias("b2"), F.col("tail").alias("t2"))
-            far = marks.join(ahead, "nxt", "left").select(
-                "e", F.col("n2").alias("nxt"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), (F.col("b") + F.coalesce("b2", F.lit(0))).alias("b"), F.coalesce("t2", "tail").alias("tail"),
-            )
-            new = write(far)
-            self.scratch.drop(marks)
-            marks = new
-        else:
-            raise RuntimeError("list ranking did not end")
-        # Back to nodes: one row per node from its marks; root by the mark that ends its tour.
-        node = marks.select(F.expr("e div 2").alias("id"), (F.col("e") % 2 == 0).alias("enter"), "w", "b", F.expr("tail div 2").alias("r"))
-        per = node.groupBy("id").agg(
-            F.max(F.when(F.col("enter"), F.col("w"))).alias("we"), F.max(F.when(F.col("enter"), F.col("b"))).alias("be"), F.max(F.when(~F.col("enter"), F.col("w"))).alias("wx"), F.max("r").alias("r"),
-        )
-        whole = per.where("id = r").select("r", F.col("we").alias("size"))
-        parents = self.tree.select(F.col("c").alias("id"), F.col("p").alias("up"))
-        names = self.ids.select(F.col("id").alias("r"), F.col("key").alias("root"))
-        root = whole.join(names, "r")
-        ranked = per.join(root, "r").join(parents, "id", "left").select(
-            "id", "root", (-F.col("be")).alias("d"), (F.col("size") - F.col("we")).alias("entry"), F.coalesce(F.col("size") - F.col("wx"), F.col("size") - F.col("we") + 1).alias("exit"), "up",
+        inner = self.tree.select(F.col("p").alias("c")).distinct().withColumn("inner", F.lit(True))
+        kinds = self.tree.join(inner, "c", "left").select("p", "c", F.coalesce("inner", F.lit(False)).alias("inner"))
+        order = write(dense_index(self.scratch, kinds, "p", "inner", "c"))
+        family = write(order.groupBy("p").agg(F.min("g").alias("first"), F.count_if(~F.col("inner")).alias("leaves"), F.count("*").alias("n")))
+        child = order.where("inner").select("p", "c", "g")
+        # Inner children follow the leaves of the same parent, so the next place holds the next one.
+        ahead = child.select(F.col("p").alias("np"), F.col("c").alias("nc"), (F.col("g") - 1).alias("g"))
+        after = child.join(ahead, "g", "left").select(F.col("c").alias("v"), F.when(F.col("np") == F.col("p"), F.col("nc") * 2).otherwise(F.col("p") * 2 + 1).alias("after"))
+        eldest = family.where("leaves < n").select(F.col("p").alias("v"), (F.col("first") + F.col("leaves")).alias("g")).join(child.select("c", "g"), "g").select("v", (F.col("c") * 2).alias("into"))
+        nodes = family.select(F.col("p").alias("v"), "leaves").join(eldest, "v", "left").join(after, "v", "left")
+        both = F.array(
+            F.struct((F.col("v") * 2).alias("e"), F.coalesce("into", F.col("v") * 2 + 1).alias("nxt"), (1 + 2 * F.col("leaves")).alias("w"), F.lit(1).cast("long").alias("b"), F.col("leaves").alias("l")),
+            F.struct((F.col("v") * 2 + 1).alias("e"), F.col("after").alias("nxt"), F.lit(1).cast("long").alias("w"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("l")),
         )
-        # A leaf's single mark balances itself: its depth is that of its parent's inside.
+        ranked = chase(self.scratch, nodes.select(F.inline(both)), ["w", "b", "l"], self.block)
+        if _any(ranked, F.col("tail").isNull()):
+            raise RuntimeError("a tour does not end")
+        # Back to nodes: one row per inner node from its two marks; root by the mark that ends its tour.
+        mark = ranked.select(F.expr("e div 2").alias("id"), (F.col("e") % 2 == 0).alias("enter"), "w", "b", "l", F.expr("tail div 2").alias("r"))
+        at = lambda c, enter: F.max(F.when(F.col("enter") == enter, F.col(c)))
+        per = mark.groupBy("id").agg(at("w", True).alias("we"), at("w", False).alias("wx"), (-at("b", True)).alias("d"), (at("l", True) - at("l", False)).alias("n_leaves"), F.max("r").alias("r"))
+        whole = per.where("id = r").select("r", F.col("we").alias("size")).join(self.ids.select(F.col("id").alias("r"), F.col("key").alias("root")), "r")
+        tops = write(per.join(whole, "r").select("id", "root", "d", (F.col("size") - F.col("we")).alias("entry"), (F.col("size") - F.col("wx")).alias("exit"), "n_leaves"))
+        above = tops.join(family.select(F.col("p").alias("id"), "first"), "id").select(F.col("id").alias("up"), "root", "d", "entry", "first")
+        leaf = order.where("NOT inner").select(F.col("p").alias("up"), F.col("c").alias("id"), "g").join(above, "up")
+        start = F.col("entry") + 1 + 2 * (F.col("g") - F.col("first"))
+        leaf = leaf.select("id", "root", (F.col("d") + 1).alias("d"), start.alias("entry"), (start + 1).alias("exit"), F.lit(1).cast("long").alias("n_leaves"), "up")
+        parents = self.tree.join(inner, "c", "left_semi").select(F.col("c").alias("id"), F.col("p").alias("up"))
+        placed = leaf.unionByName(tops.join(parents, "id", "left").select(leaf.columns))
         bad = self.bad.select(F.col("v").alias("id"), F.lit(True).alias("bad"))
-        every = self.ids.join(ranked, "id", "left").join(bad, "id", "left")
+        every = self.ids.join(placed, "id", "left").join(bad, "id", "left")
         alone, cyclic = F.col("root").isNull(), F.coalesce(F.col("bad"), F.lit(False))
+        pick = lambda single, value: F.when(cyclic, F.lit(None)).when(alone, F.lit(single)).otherwise(value).cast("long")
         return every.select(
             "id", "key",
             F.when(cyclic, F.lit("")).when(alone, F.col("key")).otherwise(F.col("root")).alias("root"),
             F.when(cyclic, F.lit(-1)).when(alone, F.lit(0)).otherwise(F.col("d")).cast("int").alias("depth"),
-            F.when(cyclic, F.lit(None)).when(alone, F.lit(0)).otherwise(F.col("entry")).cast("long").alias("entry"),
-            F.when(cyclic, F.lit(None)).when(alone, F.lit(1)).otherwise(F.col("exit")).cast("long").alias("exit"),
+            pick(0, F.col("entry")).alias("entry"), pick(1, F.col("exit")).alias("exit"), pick(1, F.col("n_leaves")).alias("n_leaves"),
             F.when(~cyclic, F.col("up")).alias("up"),
         )
 
@@ -213,3 +292,19 @@ class Forest:
         """
         count = F.expr("(exit - entry - 1) div 2")
         return self.places.select("key", "root", "depth", "entry", "exit", count.alias("descendants"))
+
+    def descendants_of(self, keys: DataFrame) -> DataFrame:
+        """``key, descendant, depth`` (of the descendant) for the nodes in the first column of ``keys``; none for leaves and cycles."""
+        spans = self._of(keys).select("root", F.col("key").alias("key"), F.col("entry").alias("low"), F.col("exit").alias("high"))
+        points = self.places.where("depth >= 0").select("root", F.col("key").alias("descendant"), "depth", "entry")
+        return contained(points, spans, "root", "entry", "low", "high").select("key", "descendant", "depth")
+
+    def ancestors_of(self, keys: DataFrame) -> DataFrame:
+        """``key, ancestor, depth`` (of the ancestor) for the nodes in the first column of ``keys``; none for roots and cycles."""
+        points = self._of(keys).select("root", "key", "entry")
+        spans = self.places.where("depth >= 0 AND exit > entry + 1").select("root", F.col("key").alias("ancestor"), "depth", F.col("entry").alias("low"), F.col("exit").alias("high"))
+        return contained(points, spans, "root", "entry", "low", "high").select("key", "ancestor", "depth")
+
+    def _of(self, keys: DataFrame) -> DataFrame:
+        asked = keys.select(F.col(keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct()
+        return self.places.where("depth >= 0").join(asked, "key", "left_semi")

@@ -212,17 +212,35 @@ def owner_propagation(t):
     return reached.join(owners.limit(0), "node", "left_anti").groupBy("node").agg(F.min("owner").alias("owner"), F.countDistinct("owner").alias("n_owners"))
 
 
-@query()
+TREE = """RECURSIVE n AS (SELECT DISTINCT hierarchy_node_key AS k FROM hierarchy_nodes WHERE hierarchy_node_key IS NOT NULL),
+e AS (SELECT DISTINCT parent_node_key AS p, child_node_key AS c FROM hierarchy_edges WHERE parent_node_key IN (SELECT k FROM n) AND child_node_key IN (SELECT k FROM n)),
+m AS (SELECT c, any_value(p) AS p FROM e GROUP BY c HAVING count(*) = 1),
+good AS (SELECT k, 0 AS depth, k AS root, k AS path FROM n WHERE k NOT IN (SELECT c FROM e) UNION ALL SELECT m.c, depth + 1, root, path || '/' || m.c FROM good JOIN m ON m.p = good.k),
+up AS (SELECT k, k AS a, depth FROM good UNION ALL SELECT up.k, m.p, up.depth - 1 FROM up JOIN m ON m.c = up.a)"""
+
+
+@query(f"""WITH {TREE} SELECT a AS key, count(*) AS n_leaves FROM up WHERE k NOT IN (SELECT p FROM m) GROUP BY a""")
 def leaf_rollup(t):
-    """Leaves below every node of a hierarchy, from the entry and exit numbers of its tour."""
+    """Leaves at or below every node of a hierarchy: their weights are summed along the tour."""
+    return _forest(t).places.where("depth >= 0").select("key", "n_leaves")
+
+
+@query(f"""WITH {TREE} SELECT d.a AS key, d.k AS descendant, good.depth FROM up d JOIN good ON good.k = d.k WHERE d.a <> d.k AND d.a IN (SELECT child_node_key FROM hierarchy_edges WHERE hierarchy_edge_id % 50 = 0)""")
+def hierarchy_descendants(t):
+    """All descendants of the stated query nodes (children of links whose id is divisible by 50), by the intervals of the tour."""
+    return _forest(t).descendants_of(t("hierarchy_edges").where("hierarchy_edge_id % 50 = 0").select("child_node_key"))
+
+
+@query(f"""WITH {TREE} SELECT k AS key, a AS ancestor, depth FROM up WHERE a <> k AND k IN (SELECT child_node_key FROM hierarchy_edges WHERE hierarchy_edge_id % 50 = 0)""")
+def hierarchy_ancestors(t):
+    """All ancestors of the stated query nodes (children of links whose id is divisible by 50), by the intervals of the tour."""
+    return _forest(t).ancestors_of(t("hierarchy_edges").where("hierarchy_edge_id % 50 = 0").select("child_node_key"))
+
+
+def _forest(t):
     from skyloom.operators.hierarchy import Forest
 
-    f = Forest(t("hierarchy_nodes"), t("hierarchy_edges"), "hierarchy_node_key", "parent_node_key", "child_node_key")
-    good = f.places.where("depth >= 0")
-    paths = f.paths().where("path IS NOT NULL")
-    leaf = good.where("exit = entry + 1").select("key").join(paths, "key")
-    up = leaf.select(F.explode(F.split("path", "/")).alias("key"))
-    return up.groupBy("key").agg(F.count("*").alias("n_leaves"))
+    return Forest(t("hierarchy_nodes"), t("hierarchy_edges"), "hierarchy_node_key", "parent_node_key", "child_node_key")
 
 
 @query("""SELECT key, change FROM (SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'missing' WHEN a.h <> b.h THEN 'changed' END AS change FROM (SELECT o_custkey AS k, md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h FROM orders WHERE o_custkey % 9 <> 1 GROUP BY 1) b ON a.k = b.k) WHERE change IS NOT NULL""")

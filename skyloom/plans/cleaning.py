@@ -103,13 +103,18 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    out = _forest(spark, d).descendants()
-    return out.withColumnsRenamed({"key": "hierarchy_node_key", "root": "root_node_key"})
+    """How many nodes hang below each; which ones, ``descendants_of`` tells by the entry and exit numbers."""
+    return _forest(spark, d).descendants().select(F.col("key").alias("hierarchy_node_key"), F.col("root").alias("root_node_key"), "depth", "descendants")
+
+
+def p3_tour(spark: SparkSession, d: str) -> DataFrame:
+    """Entry and exit numbers: a node lies below another of its root iff its entry lies within the other's interval."""
+    return _forest(spark, d).places.select(F.col("key").alias("hierarchy_node_key"), F.col("root").alias("root_node_key"), "depth", "entry", "exit", "n_leaves")
 
 
 QUERIES = {
     "p2_found": p2_found, "p2_rejects": p2_rejects, "p2_loaded": p2_loaded,
-    "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
+    "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_tour": p3_tour,
     "p4_found": p4_found, "p4_normalized": p4_normalized, "p4_unknown": p4_unknown, "p4_changepoints": p4_changepoints, "p4_inference": p4_inference,
     "p5_found": p5_found, "p5_wide": p5_wide,
 }
@@ -122,6 +127,20 @@ e AS (SELECT DISTINCT parent_node_key AS p, child_node_key AS c FROM hierarchy_e
 m AS (SELECT c, count(*) AS parents FROM e GROUP BY c),
 r AS (SELECT k, k AS root, 0 AS depth FROM n WHERE k NOT IN (SELECT c FROM e) UNION ALL SELECT e.c, r.root, r.depth + 1 FROM r JOIN e ON e.p = r.k JOIN m ON m.c = e.c AND m.parents = 1)
 SELECT n.k AS hierarchy_node_key, coalesce(root, '') AS root_node_key, CAST(coalesce(depth, -1) AS INTEGER) AS depth FROM n LEFT JOIN r ON r.k = n.k""",
+    "p3_paths": """
+WITH RECURSIVE n AS (SELECT DISTINCT hierarchy_node_key AS k FROM hierarchy_nodes WHERE hierarchy_node_key IS NOT NULL),
+e AS (SELECT DISTINCT parent_node_key AS p, child_node_key AS c FROM hierarchy_edges WHERE parent_node_key IN (SELECT k FROM n) AND child_node_key IN (SELECT k FROM n)),
+m AS (SELECT c, any_value(p) AS p FROM e GROUP BY c HAVING count(*) = 1),
+r AS (SELECT k, k AS path FROM n WHERE k NOT IN (SELECT c FROM e) UNION ALL SELECT m.c, r.path || '/' || m.c FROM r JOIN m ON m.p = r.k)
+SELECT n.k AS hierarchy_node_key, path FROM n LEFT JOIN r ON r.k = n.k""",
+    "p3_descendants": """
+WITH RECURSIVE n AS (SELECT DISTINCT hierarchy_node_key AS k FROM hierarchy_nodes WHERE hierarchy_node_key IS NOT NULL),
+e AS (SELECT DISTINCT parent_node_key AS p, child_node_key AS c FROM hierarchy_edges WHERE parent_node_key IN (SELECT k FROM n) AND child_node_key IN (SELECT k FROM n)),
+m AS (SELECT c, any_value(p) AS p FROM e GROUP BY c HAVING count(*) = 1),
+r AS (SELECT k, k AS root, 0 AS depth FROM n WHERE k NOT IN (SELECT c FROM e) UNION ALL SELECT m.c, r.root, r.depth + 1 FROM r JOIN m ON m.p = r.k),
+up AS (SELECT k, k AS a FROM r UNION ALL SELECT up.k, m.p FROM up JOIN m ON m.c = up.a),
+d AS (SELECT a, count(*) - 1 AS descendants FROM up GROUP BY a)
+SELECT n.k AS hierarchy_node_key, coalesce(root, '') AS root_node_key, CAST(coalesce(depth, -1) AS INTEGER) AS depth, descendants FROM n LEFT JOIN r ON r.k = n.k LEFT JOIN d ON d.a = n.k""",
     "p5_found": f"""
 WITH c AS (SELECT quantity_key AS q, value_type AS vt, lower(regexp_replace(unnest(list_append(other_names, quantity_key)), '[ _-]+', '', 'g')) AS form FROM quantity_catalog),
 ev AS (SELECT evidence_id, min(normalized_value) AS ev FROM stellar_parameter_evidence WHERE NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) GROUP BY 1),

@@ -4,14 +4,14 @@ import random
 
 import pytest
 
-from skyloom.operators.hierarchy import Forest, dense_index
+from skyloom.operators.hierarchy import BLOCK_ROWS, Forest, chase, contained, dense_index
 from skyloom.storage import Scratch
 
 
-def forest(spark, nodes, links):
+def forest(spark, nodes, links, block=BLOCK_ROWS):
     n = spark.createDataFrame([(x, 1) for x in nodes], "hierarchy_node_key string, id int")
     e = spark.createDataFrame([(p, c, 0) for p, c in links], "p string, c string, key int")
-    return Forest(n, e, "hierarchy_node_key", "p", "c")
+    return Forest(n, e, "hierarchy_node_key", "p", "c", block)
 
 
 def brute(nodes, links):
@@ -34,8 +34,8 @@ def brute(nodes, links):
     return {k: out.get(k, ("", -1, None)) for k in keys}
 
 
-def check(spark, nodes, links, full=True):
-    f = forest(spark, nodes, links)
+def check(spark, nodes, links, full=True, block=BLOCK_ROWS):
+    f = forest(spark, nodes, links, block)
     want = brute(nodes, links)
     got = f.places.collect()
     assert sorted((r["key"], r["root"], r["depth"]) for r in got) == sorted((k, v[0], v[1]) for k, v in want.items())
@@ -49,6 +49,17 @@ def check(spark, nodes, links, full=True):
     below = {k: sum(v[2] is not None and v[2].startswith(want[k][2] + "/") for v in want.values()) for k in inside}
     assert inside == below
     assert {r["key"]: r["descendants"] for r in f.descendants().collect() if r["depth"] >= 0} == below
+    parent = {v[2].rsplit("/", 1)[0] for v in want.values() if v[2] and "/" in v[2]}
+    leaves = {k: sum(v[2] is not None and v[2] not in parent and (v[2] + "/").startswith(want[k][2] + "/") for v in want.values()) for k in inside}
+    assert {r["key"]: r["n_leaves"] for r in good} == leaves
+    asked = sorted(want)[::5]
+    keys = spark.createDataFrame([(k,) for k in [*asked, None, "unknown"]], "k string")
+    pairs = {(a, k, v[1]) for a in asked if want[a][2] for k, v in want.items() if v[2] and v[2].startswith(want[a][2] + "/")}
+    got = f.descendants_of(keys).collect()
+    assert {(r["key"], r["descendant"], r["depth"]) for r in got} == pairs and len(got) == len(pairs)
+    above = {(k, a, i) for k in asked if want[k][2] for i, a in enumerate(want[k][2].split("/")[:-1])}
+    got = f.ancestors_of(keys).collect()
+    assert {(r["key"], r["ancestor"], r["depth"]) for r in got} == above and len(got) == len(above)
 
 
 def test_small_cases(spark):
@@ -61,6 +72,7 @@ def test_deep_and_wide(spark):
     nodes = [f"n{i:04d}" for i in range(600)]
     links = [(nodes[i], nodes[i + 1]) for i in range(150)] + [(nodes[0], nodes[i]) for i in range(151, 500)] + [(nodes[500 + i], nodes[500 + (i + 1) % 90]) for i in range(90)] + [(nodes[510], nodes[595])]
     check(spark, nodes, links)
+    check(spark, nodes, links, full=False, block=0)  # shuffle rounds to the end
 
 
 def test_random_graph_with_cycles_and_several_parents(spark):
@@ -75,6 +87,33 @@ def test_edge_cases(spark, nodes, links):
     check(spark, nodes, links, full=False)
 
 
+@pytest.mark.parametrize("block", [0, 3, 1000])
+def test_chase(spark, block):
+    rng = random.Random(block)
+    nxt = {i: rng.choice([None, None, *range(i)]) if i else None for i in range(60)} | {100: 101, 101: 102, 102: 100, 103: 101}
+    weight = {i: rng.randrange(9) for i in nxt}
+    df = spark.createDataFrame([(i, n, weight[i]) for i, n in nxt.items()], "e long, nxt long, w int")
+    want = set()
+    for i in nxt:
+        seen, total, k = set(), 0, i
+        while k is not None and k not in seen:
+            seen.add(k)
+            total, last, k = total + weight[k], k, nxt[k]
+        want.add((i, None, None) if k is not None else (i, last, total))
+    got = chase(Scratch(spark, "t"), df, ["w"], block).collect()
+    assert {(r["e"], r["tail"], None if r["tail"] is None else r["w"]) for r in got} == want and len(got) == len(nxt)
+
+
+def test_contained(spark):
+    rng = random.Random(9)
+    spans = [("t", i, *sorted(rng.sample(range(5000), 2))) for i in range(60)] + [("t", 99, 7, 8), ("u", 98, 0, 70000), ("empty", 97, 0, 9)]
+    points = [("t", rng.randrange(5000)) for _ in range(200)] + [("u", 69999), ("u", 70000), ("u", 0), ("other", 3)]
+    p = spark.createDataFrame(points, "t string, at long").distinct()
+    got = contained(p, spark.createDataFrame(spans, "t string, id int, low long, high long"), "t", "at", "low", "high").collect()
+    want = {(t, i, at) for t, i, low, high in spans for u, at in set(points) if t == u and low < at < high}
+    assert {(r["t"], r["id"], r["at"]) for r in got} == want and len(got) == len(want)
+
+
 def test_dense_index(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(1000)], "a int, b int").repartition(5)
     got = dense_index(Scratch(spark, "t"), df, "a", "b").orderBy("g").collect()
