@@ -28,7 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one computation; a table is dropped when a later one replaces it."""
+    """Written tables of one computation.
+
+    A loop drops the table that its next round replaces; ``close`` drops all of
+    them once nothing lazy reads them any more.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -46,7 +50,20 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that ``write`` made and nothing reads any more."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(df._skyloom_path)
+        self._delete(df._skyloom_path)
+
+    def close(self) -> None:
+        """Deletes all tables of the computation."""
+        self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
@@ -54,7 +71,11 @@ class Scratch:
 BROADCAST_ROWS = 100_000
 
 
+def sized(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast only if it has at most ``limit`` rows."""
+    return F.broadcast(written) if written.count() <= limit else written
+
+
 def small_side(scratch: Scratch, df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Writes ``df`` and returns its scan, marked for broadcast only if it has at most ``limit`` rows."""
-    out = scratch.write(df)
-    return F.broadcast(out) if out.count() <= limit else out
+    return sized(scratch.write(df), limit)
