@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +123,69 @@ def with_mixed_hash(df: DataFrame, key: str, name: str) -> DataFrame:
     df = once(df.withColumnRenamed("_z", "_y"), _z=F.col("_y").bitwiseXOR(F.shiftrightunsigned("_y", 31))).drop("_y")
     unsigned = F.col("_z").cast("decimal(20,0)")
     return df.withColumn(name, F.when(F.col("_z") < 0, unsigned + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(unsigned).cast("decimal(20,0)")).drop("_z")
+
+
+#: Limits of the mass ladder.
+MASS_COLUMNS = (("best", "earth"), ("best", "jupiter"), ("true", "earth"), ("true", "jupiter"), ("minimum", "earth"), ("minimum", "jupiter"))
+
+
+def planet_mass_solar(masses: dict[tuple[str, str], Column]) -> Column:
+    """The first mass of the ladder that is positive (best, true, minimum; in Earth, then Jupiter masses), in solar masses."""
+    per = {"earth": EARTH_PER_SUN, "jupiter": JUPITER_PER_SUN}
+    return F.coalesce(*[F.when(masses[k] > 0, masses[k] / per[k[1]]) for k in MASS_COLUMNS if k in masses])
+
+
+def kepler_interval(mass: Column, mass_low: Column, mass_high: Column, period: Column, period_low: Column, period_high: Column) -> tuple[Column, Column, Column]:
+    """Axis and its bounds; a missing bound falls back to the value."""
+    low = kepler_axis(F.coalesce(mass_low, mass), F.coalesce(period_low, period))
+    high = kepler_axis(F.coalesce(mass_high, mass), F.coalesce(period_high, period))
+    return kepler_axis(mass, period), low, high
+
+
+def insolation_interval(lum: Column, lum_low: Column, lum_high: Column, axis: Column, axis_low: Column, axis_high: Column) -> tuple[Column, Column, Column]:
+    """Insolation with crossed bounds: the least light at the widest orbit, the most at the closest."""
+    return insolation(lum, axis), insolation(lum_low, axis_high), insolation(lum_high, axis_low)
+
+
+def luminosity_interval(radius: Column, radius_low: Column, radius_high: Column, t: Column, t_low: Column, t_high: Column) -> tuple[Column, Column, Column]:
+    return luminosity_from(radius, t), luminosity_from(radius_low, t_low), luminosity_from(radius_high, t_high)
+
+
+def equivalent_radius_arcmin(area_sq_deg: Column) -> Column:
+    """Radius of the circle that has this area, as 120 sqrt(A / pi) (arc minutes, full axis)."""
+    return F.when(area_sq_deg > 0, 120.0 * F.sqrt(area_sq_deg / math.pi))
+
+
+def julian_year(julian_date: Column) -> Column:
+    return 2000.0 + (julian_date - 2451545.0) / 365.25
+
+
+def besselian_year(julian_date: Column) -> Column:
+    return 1900.0 + (julian_date - 2415020.31352) / 365.242198781
+
+
+def propagate(ra: Column, dec: Column, pm_ra: Column, pm_dec: Column, years: Column) -> tuple[Column, Column]:
+    """A position moved by its proper motion (mas a year, right ascension times cos dec)."""
+    return ra + pm_ra * years / 3600000 / F.cos(F.radians(dec)), dec + pm_dec * years / 3600000
+
+
+#: Rotation of the mean equator and equinox of B1950 (FK4) to J2000.
+B1950_TO_J2000 = (
+    (0.9999256782, -0.0111820611, -0.0048579477),
+    (0.0111820610, 0.9999374784, -0.0000271765),
+    (0.0048579479, -0.0000271474, 0.9999881997),
+)
+#: The e-terms of aberration in B1950 positions.
+E_TERMS = (-1.62557e-6, -0.31919e-6, -0.13843e-6)
+
+
+def b1950_to_icrs(ra: Column, dec: Column) -> tuple[Column, Column]:
+    """A B1950 (FK4) position in degrees as J2000, which agrees with ICRS to some hundredths of an arcsecond; proper motion is taken as zero.
+
+    The e-terms are removed from the unit vector before it is rotated; all of it stays inside code generation.
+    """
+    v = cartesian(ra, dec, F.lit(1.0))
+    along = v[0] * E_TERMS[0] + v[1] * E_TERMS[1] + v[2] * E_TERMS[2]
+    w = [v[i] - E_TERMS[i] + along * v[i] for i in range(3)]
+    x, y, z = (w[0] * r[0] + w[1] * r[1] + w[2] * r[2] for r in B1950_TO_J2000)
+    return F.degrees(F.atan2(y, x)) + F.when(F.atan2(y, x) < 0, 360.0).otherwise(0.0), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))

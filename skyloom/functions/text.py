@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The texts of the two truth values, in lower case.
+TRUE_TEXTS = ("1", "true", "t", "yes", "y", "on")
+FALSE_TEXTS = ("0", "false", "f", "no", "n", "off")
+
+
 def normalize_name(c: Column) -> Column:
     """Letters and digits in lower case, everything else one blank; null for a blank result."""
     return F.nullif(F.trim(F.lower(F.regexp_replace(c, "[^0-9A-Za-z]+", " "))), F.lit(""))
@@ -18,7 +23,7 @@ def empty_to_null(c: Column) -> Column:
 def boolish(c: Column) -> Column:
     """Truth values in their usual texts; null for anything else."""
     t = F.lower(F.trim(c))
-    return F.when(t.isin("1", "true", "t", "yes", "y", "on"), True).when(t.isin("0", "false", "f", "no", "n", "off"), False)
+    return F.when(t.isin(*TRUE_TEXTS), True).when(t.isin(*FALSE_TEXTS), False)
 
 
 def strip_id(c: Column) -> Column:
@@ -51,11 +56,28 @@ def identifier_number(c: Column) -> Column:
     return F.when(identifier_kind(c).isNotNull(), F.regexp_extract(F.trim(c), r"([0-9]+)$", 1)).otherwise("")
 
 
+TIC = r"(?i)^tic[\s._\-]*([0-9]{1,19})$"
+TOI = r"(?i)^toi[\s_\-]*([0-9]{1,9})(?:[.\s_\-]+([0-9]{1,2}))?$"
+
+
+def _tess_parts(c: Column) -> tuple[Column, Column, Column, Column]:
+    t = F.trim(c)
+    return t, F.regexp_extract(t, TIC, 1).try_cast("bigint"), F.regexp_extract(t, TOI, 1).try_cast("bigint"), F.regexp_extract(t, TOI, 2)
+
+
 def candidate_designation(c: Column) -> Column:
-    """``toi 123.1`` in the form ``TOI-123.01``; null if it is none or its number too large."""
-    t = F.upper(F.trim(c))
-    p = r"^TOI[\s\-_]*0*([0-9]{1,18})[.\s]+0*([0-9]{1,2})$"
-    return F.when(t.rlike(p), F.concat(F.lit("TOI-"), F.regexp_extract(t, p, 1), F.lit("."), F.lpad(F.regexp_extract(t, p, 2), 2, "0")))
+    """``toi 123.1`` as ``TOI-123.01``, ``toi7`` as ``TOI-7``, ``tic 42`` as ``TIC 42``; null for anything else or a number out of range."""
+    t, tic, host, part = _tess_parts(c)
+    planet = F.concat(F.lit("TOI-"), host.cast("string"), F.when(part != "", F.concat(F.lit("."), F.lpad(part, 2, "0"))).otherwise(""))
+    return F.when(tic > 0, F.concat(F.lit("TIC "), tic.cast("string"))).when((host > 0) & ~part.isin("0", "00"), planet)
+
+
+def candidate_reason(c: Column) -> Column:
+    """Why a text that begins like a TIC or TOI is none: malformed_identifier or identifier_out_of_range; null for valid ones and other texts."""
+    t, tic, host, part = _tess_parts(c)
+    begins = t.rlike(r"(?i)^(?:tic|toi)(?=$|[\s._\-]|[0-9])")
+    formed = t.rlike(TIC) | t.rlike(TOI)
+    return F.when(begins & ~formed, "malformed_identifier").when(begins & candidate_designation(c).isNull(), "identifier_out_of_range")
 
 
 def deep_sky_designation(c: Column) -> Column:
@@ -68,9 +90,32 @@ def deep_sky_designation(c: Column) -> Column:
 
 
 def ordinal_label(n: Column) -> Column:
-    """0-based ordinals as letters: a..z, then aa, ab, ..."""
-    one = F.char(F.lit(97) + n % 26)
-    return F.when(n < 26, one).otherwise(F.concat(F.char(F.lit(96) + F.floor(n / 26)), one))
+    """0-based ordinals as letters: a..z, then aa..zz, then aaa.. up to four letters; null beyond (475,254)."""
+    out, start = F.lit(None).cast("string"), 0
+    steps = []
+    for letters in range(1, 5):
+        parts = [F.char(F.lit(97) + F.floor((n - start) / 26**i) % 26) for i in reversed(range(letters))]
+        steps.append((start + 26**letters, F.concat(*parts)))
+        start += 26**letters
+    for end, label in reversed(steps):
+        out = F.when(n < end, label).otherwise(out)
+    return F.when(n >= 0, out)
+
+
+def label_stem(c: Column) -> Column:
+    """A component label without its last letter of lower case: ``Aab`` gives ``Aa``; null if it has none."""
+    t = F.trim(c)
+    return F.when(t.rlike("^[A-Za-z]+[a-z]$"), F.regexp_extract(t, "^(.*)[a-z]$", 1))
+
+
+def pair_labels(c: Column) -> tuple[Column, Column]:
+    """The two components a pair label names: blank is A and B, ``a1,2`` is a1 and a2, ``x,y`` and ``x-y`` are x and y, ``AB`` is A and B; else null."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    short, two = r"^([A-Za-z]*)([0-9]+),([0-9]+)$", r"^([A-Za-z0-9]+)\s*[,\-]\s*([A-Za-z0-9]+)$"
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    left = F.when(t == "", "A").when(t.rlike(short), F.concat(part(short, 1), part(short, 2))).when(t.rlike(two), part(two, 1)).when(t.rlike("^[A-Za-z]{2}$"), F.substring(t, 1, 1))
+    right = F.when(t == "", "B").when(t.rlike(short), F.concat(part(short, 1), part(short, 3))).when(t.rlike(two), part(two, 2)).when(t.rlike("^[A-Za-z]{2}$"), F.substring(t, 2, 1))
+    return left, right
 
 
 def sexagesimal_degrees(c: Column, hours: bool = False) -> Column:

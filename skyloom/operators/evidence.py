@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def select_sets(sets: DataFrame, key: str, set_id: str, *order: Column) -> DataFrame:
-    """``key, set_id, runner_up, n_sets``: the first set per object in ``order``, then by id, and the next one."""
-    w = Window.partitionBy(key).orderBy(*order, F.col(set_id))
-    ranked = sets.select(key, set_id, F.lead(set_id).over(w).alias("runner_up"), F.count("*").over(Window.partitionBy(key)).alias("n_sets"), F.row_number().over(w).alias("_rn"))
-    return ranked.where("_rn = 1").drop("_rn")
+def select_sets(sets: DataFrame, key: str | list[str], set_id: str, *order: Column) -> DataFrame:
+    """``key, set_id, runner_up, n_sets``: the first set per object in ``order``, then by id, and the next one.
+
+    The rank limit of two is applied map-side and the count is combined there, so no object's sets meet in one task.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(*order, F.col(set_id))
+    two = sets.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+    at = lambda n: F.max(F.when(F.col("_rn") == n, F.col(set_id)))
+    counts = sets.groupBy(*keys).agg(F.count("*").alias("n_sets"))
+    return two.groupBy(*keys).agg(at(1).alias(set_id), at(2).alias("runner_up")).join(counts, keys)
 
 
 def select_facts(facts: DataFrame, selected: DataFrame, key: str, set_id: str) -> DataFrame:

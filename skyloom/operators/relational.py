@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.numbers import once
+
 
 def col_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
     """The column if the frame has it, else a typed null."""
@@ -97,19 +100,52 @@ def fingerprint(df: DataFrame, key: Column) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Digest of a table that depends neither on row order nor on partitioning.
+    """``n_rows, digest`` of a table, whatever its row order and partitioning; repeated rows count.
 
-    Rows are hashed, hashes digested per bucket of their first four hex digits
-    (65,536 buckets bound what a task collects to that share of the rows), and
-    buckets digested again by their first two and at last together.
+    The 256-bit hash of each row is taken as eight words of 32 bits; the digest hashes their sums and the xor of
+    the first 60 bits, which are accumulators of fixed size, combined map-side. No row hashes are collected.
     """
     text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    row = df.select(F.sha2(text, 256).alias("h"))
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
-    fine = row.groupBy(F.substring("h", 1, 4).alias("b")).agg(digest.alias("h"), F.count("*").alias("n"))
-    coarse = fine.groupBy(F.substring("b", 1, 2).alias("c")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.sum("n").alias("n"))
-    final = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "h"))), lambda x: x["h"]), ""), 256)
-    return coarse.agg(F.sum("n").alias("n_rows"), final.alias("digest"))
+    row = once(df, _h=F.sha2(text, 256)).select("_h")
+    word = lambda i, n: F.conv(F.substring("_h", i, n), 16, 10).cast("bigint")
+    # Sums of 32-bit words over up to 10**28 rows fit the decimal.
+    sums = [F.coalesce(F.sum(word(8 * i + 1, 8).cast("decimal(10,0)").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(8)]
+    parts = row.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(word(1, 15)), F.lit(0).cast("bigint")).alias("x"), *sums)
+    return parts.select("n_rows", F.sha2(F.concat_ws("|", "x", *[f"s{i}" for i in range(8)]), 256).alias("digest"))
+
+
+def exact_quantiles(scratch, df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and one interpolated quantile per name in ``shares``; nulls and NaN have no place.
+
+    Values are range-sorted and indexed once (``hierarchy.dense_index``), and the two rows around each
+    quantile are picked by their place in the group, so no group of values meets in one task.
+    """
+    from skyloom.operators.hierarchy import dense_index
+
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    placed = scratch.write(dense_index(scratch, rows, *keys, "_v", name="_g"))
+    groups = placed.groupBy(*keys).agg(F.min("_g").alias("_first"), F.count("*").alias("_n"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in shares.items()]))
+    at = groups.withColumn("_q", asked).select(*keys, F.col("_q.name").alias("_name"), "_first", ((F.col("_n") - 1) * F.col("_q.q")).alias("_at"))
+    ends = at.select(*keys, "_name", "_at", "_first", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_i")).withColumn("_g", F.col("_first") + F.col("_i"))
+    # Between the two places the nearer one weighs more.
+    weight = 1 - F.abs(F.col("_at") - F.col("_i"))
+    got = ends.select("_g", "_name", "_at", "_i").join(placed, "_g").groupBy(*keys, "_name").agg(F.sum(weight * F.col("_v")).alias("_v"))
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
+def near_join(left: DataFrame, right: DataFrame, key: str, a: str, b: str, absolute: float, relative: float) -> DataFrame:
+    """Pairs of equal ``key`` with ``|a - b| <= max(absolute, b * relative)``, for values that are not negative.
+
+    Values are mapped to a scale on which the tolerance spans under two steps (linear up to where the relative
+    tolerance takes over, logarithmic from there); the right side is copied to five steps and the join is an equi join.
+    """
+    turn = absolute / relative
+    def step(x: Column) -> Column:
+        return F.floor(F.when(x < turn, x / absolute).otherwise(1 / relative + F.log(F.greatest(x, F.lit(turn)) / turn) / math.log1p(relative)))
+    l = left.withColumn("_s", step(F.col(a)))
+    r = right.withColumn("_t", step(F.col(b))).withColumn("_s", F.explode(F.sequence(F.col("_t") - 2, F.col("_t") + 2))).drop("_t")
+    return l.join(r, [key, "_s"]).where(F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(absolute), F.col(b) * relative)).drop("_s")
 
 
 def encode_cursor(values: dict) -> str:
@@ -163,12 +199,20 @@ def append_history(history: DataFrame, new: DataFrame, keys: list[str], first: s
     return out.select(*keys, first, F.col("_last").alias(last), *[F.col(f"_p.{p}").alias(p) for p in payload])
 
 
+def count_differences(df: DataFrame, column: str, expected: dict[str, int]) -> DataFrame:
+    """``outcome, expected, found`` for the outcomes whose count differs from the pinned one, in either direction; a null outcome is 'null'."""
+    pinned = df.sparkSession.createDataFrame(sorted(expected.items()) or [("", 0)], "outcome string, expected long").where(F.lit(bool(expected)))
+    found = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("outcome")).agg(F.count("*").alias("found"))
+    both = found.join(F.broadcast(pinned), "outcome", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return both.select("outcome", zero("expected"), zero("found")).where("expected <> found")
+
+
 def expect_counts(df: DataFrame, column: str, expected: dict[str, int]) -> None:
-    """Raises if the outcome counts of ``column`` differ from the pinned ones. ``column`` is an enumeration."""
-    rows = df.groupBy(column).count().limit(10_000).collect()
-    found = {r[column]: r["count"] for r in rows}
-    if found != expected:
-        raise ValueError(f"outcome counts changed: {found} instead of {expected}")
+    """Raises if any outcome count of ``column`` differs from the pinned one; all outcomes are compared, an example is shown."""
+    bad = count_differences(df, column, expected).orderBy("outcome").head(5)
+    if bad:
+        raise ValueError(f"outcome counts changed: {[r.asDict() for r in bad]}")
 
 
 def merge_json(old: Column, patch: Column) -> Column:

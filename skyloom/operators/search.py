@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.text import trigrams
+from skyloom.operators.relational import keyset_page
 
 
-def tiered_search(terms: DataFrame, query: str, term: str = "term", limit: int = 2000) -> DataFrame:
-    """Terms of the first tier that has any: 0 exact, 1 prefix, 2 substring (3 letters on), 3 fuzzy (4 on).
+def search_tier(terms: DataFrame, query: str, term: str = "term") -> DataFrame:
+    """All terms of the first tier that has any: 0 exact, 1 prefix, 2 substring (3 letters on), 3 fuzzy (4 on).
 
-    One pass computes each term's tier; the least tier is an aggregate of one
-    row. A top-``limit`` list in the order of tier, distance, length and term.
+    One pass computes each term's ``tier`` and ``distance`` (-1 beyond the allowed edits); the least tier is an aggregate of one row.
     """
     t = F.col(term)
     allowed = 1 if len(query) <= 5 else 2 if len(query) <= 10 else 3
@@ -23,7 +25,75 @@ def tiered_search(terms: DataFrame, query: str, term: str = "term", limit: int =
     near = F.abs(F.length(t) - len(query)) <= allowed
     found = terms.withColumn("distance", F.when(near, distance).otherwise(-1)).withColumn("tier", tier.when(F.col("distance") >= 0, 3)).where(F.col("tier").isNotNull())
     least = found.agg(F.min("tier").alias("tier"))
-    return found.join(F.broadcast(least), "tier").orderBy("tier", "distance", F.length(t), term).limit(limit)
+    return found.join(F.broadcast(least), "tier")
+
+
+def tiered_search(terms: DataFrame, query: str, term: str = "term", limit: int = 2000) -> DataFrame:
+    """The page of the first ``limit`` hits of ``search_tier`` by distance, length and term."""
+    return search_tier(terms, query, term).orderBy("tier", "distance", F.length(term), term).limit(limit)
+
+
+#: Orders of a search: column, descending, what stands for null.
+ORDERS: dict[str, list[tuple[str, bool, object]]] = {
+    "match": [("tier", False, 9), ("name", False, "\uffff")],
+    "name": [("name", False, "\uffff")],
+    "distance": [("dist", False, 1e12)],
+    "interest": [("interest", True, -1e18)],
+    "stars": [("n_stars", True, -1)],
+    "planets": [("n_planets", True, -1)],
+    "hottest": [("temperature", True, -1e18)],
+}
+
+
+@dataclass(frozen=True)
+class SearchSpec:
+    """One faceted search. Empty facets filter nothing."""
+
+    text: str = ""
+    within: float | None = None  # distance from ``origin``
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    at_least: dict[str, float] = field(default_factory=dict)
+    at_most: dict[str, float] = field(default_factory=dict)
+    classes: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
+    all_of: tuple[str, ...] = ()
+    none_of: tuple[str, ...] = ()
+    order: str = "name"
+    size: int = 50
+    cursor: str | None = None
+
+
+def facet_search(items: DataFrame, tags: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The items that pass all facets, in the spec's order: one page after its cursor.
+
+    ``items``: ``id`` (unique), ``name, term`` (normal form of the name), ``class, x, y, z, dist`` and the columns of the
+    orders; ``tags``: ``id, tag``. Facets are predicates of one plan: those on columns reach the scan, tags
+    are one aggregated join, a null coordinate counts as 0 and an item without coordinates falls back to ``dist``.
+    """
+    if spec.order not in ORDERS:
+        raise ValueError(f"unknown order {spec.order}")
+    out = items
+    for c, v in spec.at_least.items():
+        out = out.where(F.col(c) >= v)
+    for c, v in spec.at_most.items():
+        out = out.where(F.col(c) <= v)
+    if spec.classes:
+        out = out.where(F.col("class").isin(*spec.classes))
+    if spec.within is not None:
+        parts = [F.pow(F.coalesce(F.col(c), F.lit(0.0)) - o, F.lit(2.0)) for c, o in zip("xyz", spec.origin)]
+        away = F.when(F.coalesce("x", "y", "z").isNotNull(), F.sqrt(parts[0] + parts[1] + parts[2])).otherwise(F.col("dist"))
+        out = out.where(away <= spec.within)
+    out = search_tier(out, spec.text) if spec.text else out.withColumns({"tier": F.lit(0), "distance": F.lit(0)})
+    if spec.any_of or spec.all_of or spec.none_of:
+        out = filter_tags(out, tags, "id", "tag", list(spec.any_of), list(spec.all_of), list(spec.none_of))
+    return keyset_page(out, [*ORDERS[spec.order], ("id", False, 2**63 - 1)], spec.size, spec.cursor)
+
+
+def page_of(rows: DataFrame, order: list, size: int, offset: int) -> DataFrame:
+    """An OFFSET page with ``total`` and ``next_offset`` (null on the last page) on every row."""
+    total = rows.agg(F.count("*").alias("total"))
+    page = rows.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(total))
+    return page.withColumn("next_offset", F.when(F.lit(offset + size) < F.col("total"), F.lit(offset + size)))
 
 
 def trigram_postings(terms: DataFrame, key: str, term: str) -> DataFrame:
@@ -68,3 +138,14 @@ def greedy_tags(candidates: DataFrame, key: str, limits: dict[str, int], most: i
 
     chosen = candidates.groupBy(key).agg(F.aggregate(ordered, empty, step)["tags"].alias("tags"))
     return chosen.select(key, F.posexplode("tags").alias("place", "tag"))
+
+
+def resolve_exact(asked: DataFrame, terms: DataFrame, query: str, term: str) -> DataFrame:
+    """``query, n, status`` for every asked identifier: accepted if exactly one term row equals it, else missing or ambiguous.
+
+    Nothing falls through to prefixes or similar terms. Only the terms that are asked for are counted.
+    """
+    asked = asked.select(query).where(F.col(query).isNotNull()).distinct()
+    counts = terms.join(asked, F.col(term) == F.col(query), "left_semi").groupBy(F.col(term).alias(query)).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return asked.join(counts, query, "left").select(query, n.alias("n"), F.when(n == 0, "missing").when(n == 1, "accepted").otherwise("ambiguous").alias("status"))

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import astro as A
 
 
-def sky_crossmatch(left: DataFrame, right: DataFrame, max_arcsec: float, bins_per_degree: int = 20) -> DataFrame:
-    """``left_id, right_id, sep_arcsec``: the nearest right position within ``max_arcsec`` of each left one.
+def sky_crossmatch(left: DataFrame, right: DataFrame, max_arcsec: float, matched: DataFrame | None = None) -> DataFrame:
+    """``left_id, right_id, sep_arcsec, dmag``: the nearest right position within ``max_arcsec`` of each left one.
 
-    Inputs have ``id, ra, dec`` in degrees. The right side is copied into its
-    nine neighbouring bins, so the match is an equi join on bins; bins do not wrap
-    at 0/360 degrees. Ties fall to the smaller id. ``max_arcsec`` must not exceed a
-    bin. Crowded bins are split by the join on both bin axes.
+    Inputs have ``id, ra, dec`` in degrees and, if both do, ``mag``. Positions are binned as unit vectors in a grid of
+    cubes eight radii wide, so the sky has no seam at 0/360 degrees and no poles; a right position is copied to the cubes
+    within a radius of it (two on average) and the match is an equi join on the cube. Ties of separation (to a
+    thousandth of an arcsecond) fall to the smaller difference of magnitudes, a missing one last, then the smaller id. Left ids
+    in the first column of ``matched`` are left out. Null positions match nothing.
     """
-    if max_arcsec > 3600 / bins_per_degree:
-        raise ValueError("the search radius exceeds a bin")
-    bx, by = (lambda ra: F.floor(ra * bins_per_degree)), (lambda dec: F.floor((dec + 90) * bins_per_degree))
-    l = left.select(F.col("id").alias("left_id"), F.col("ra").alias("a1"), F.col("dec").alias("d1")).withColumns({"bx": bx(F.col("a1")), "by": by(F.col("d1"))})
-    r = right.select(F.col("id").alias("right_id"), F.col("ra").alias("a2"), F.col("dec").alias("d2"))
-    for axis, c in (("bx", bx(F.col("a2"))), ("by", by(F.col("d2")))):
-        r = r.withColumn(axis, F.explode(F.sequence(c - 1, c + 1)))
-    pairs = l.join(r, ["bx", "by"]).withColumn("sep_arcsec", A.separation_arcsec(F.col("a1"), F.col("d1"), F.col("a2"), F.col("d2"))).where(F.col("sep_arcsec") <= max_arcsec)
-    best = pairs.groupBy("left_id").agg(F.min(F.struct("sep_arcsec", "right_id")).alias("b"))
-    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.sep_arcsec").alias("sep_arcsec"))
+    both = "mag" in left.columns and "mag" in right.columns
+    reach = 2 * math.sin(math.radians(max_arcsec / 3600) / 2) * (1 + 1e-9) + 1e-15
+    size = 8 * reach
+    mag = lambda df: F.col("mag").cast("double") if both else F.lit(None).cast("double")
+    if matched is not None:
+        left = left.join(matched.select(F.col(matched.columns[0]).alias("id")), "id", "left_anti")
+    l = left.where("ra IS NOT NULL AND dec IS NOT NULL").select(F.col("id").alias("left_id"), F.col("ra").alias("a1"), F.col("dec").alias("d1"), mag(left).alias("m1"))
+    r = right.where("ra IS NOT NULL AND dec IS NOT NULL").select(F.col("id").alias("right_id"), F.col("ra").alias("a2"), F.col("dec").alias("d2"), mag(right).alias("m2"))
+    axes = ("bx", "by", "bz")
+    for axis, v in zip(axes, A.cartesian(F.col("a1"), F.col("d1"), F.lit(1.0))):
+        l = l.withColumn(axis, F.floor(v / size))
+    for axis, v in zip(axes, A.cartesian(F.col("a2"), F.col("d2"), F.lit(1.0))):
+        r = r.withColumn(axis, F.explode(F.sequence(F.floor((v - reach) / size), F.floor((v + reach) / size))))
+    pairs = l.join(r, list(axes)).withColumn("sep_arcsec", A.separation_arcsec(F.col("a1"), F.col("d1"), F.col("a2"), F.col("d2"))).where(F.col("sep_arcsec") <= max_arcsec)
+    dmag = F.abs(F.col("m1") - F.col("m2"))
+    best = pairs.groupBy("left_id").agg(F.min(F.struct(F.round("sep_arcsec", 3).alias("s"), F.coalesce(dmag, F.lit(1e9)).alias("d"), "right_id", "sep_arcsec", dmag.alias("dmag"))).alias("b"))
+    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.sep_arcsec").alias("sep_arcsec"), F.col("b.dmag").alias("dmag"))
 
 
 def octree_tiles(points: DataFrame, limit: int, depth: int, half: float = 1024.0) -> DataFrame:

@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.numbers import is_missing_text, real_value
+from skyloom.functions.text import FALSE_TEXTS, TRUE_TEXTS
 from skyloom.functions.units import MAX_POLICY_ROWS
 
 ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
-#: The texts of the two truth values, in lower case.
-TRUE_TEXTS = ("1", "true", "t", "yes", "y", "on")
-FALSE_TEXTS = ("0", "false", "f", "no", "n", "off")
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,9 @@ from skyloom.functions import text as X
 from skyloom.operators import graph as G
 from skyloom.operators import identity as I
 from skyloom.operators import relational as R
+from skyloom.operators import search as S
 from skyloom.operators import tags as T
+from skyloom.plans.domain import SPELLED, spelled
 from skyloom.plans.registry import Registry
 
 reg = Registry()
@@ -121,10 +123,10 @@ def interval_overlap(t):
     return t("part").select("p_partkey", outcome.alias("outcome"), F.round(1000 / (p + e), 6).alias("near_pc"), F.when(p > e, F.round(1000 / (p - e), 6)).alias("far_pc"))
 
 
-@query("""WITH f AS (SELECT DISTINCT lower(trim(stable_object_key)) AS k, substr(trim(value_raw), 1, 1) AS c, coalesce(authority_rank, 99) AS r FROM selected_facts WHERE quantity_key = 'spectral_type' AND regexp_matches(trim(value_raw), '^[OBAFGKM]') AND stable_object_key IS NOT NULL) SELECT k, arg_min(c, struct_pack(r := r, c := c)) AS winner, string_agg(DISTINCT c, ',' ORDER BY c) AS classes FROM f GROUP BY k HAVING count(DISTINCT c) > 1""")
+@query(f"""WITH f AS (SELECT DISTINCT lower(trim(stable_object_key)) AS k, substr(trim(value_raw), 1, 1) AS c, coalesce(authority_rank, 99) AS r FROM selected_facts WHERE {SPELLED} AND regexp_matches(trim(value_raw), '^[OBAFGKM]') AND stable_object_key IS NOT NULL) SELECT k, arg_min(c, struct_pack(r := r, c := c)) AS winner, string_agg(DISTINCT c, ',' ORDER BY c) AS classes FROM f GROUP BY k HAVING count(DISTINCT c) > 1""")
 def class_conflicts(t):
     v = F.trim("value_raw")
-    f = t("selected_facts").where((F.col("quantity_key") == "spectral_type") & v.rlike("^[OBAFGKM]") & F.col("stable_object_key").isNotNull())
+    f = spelled(t, "spectral_type").where(v.rlike("^[OBAFGKM]") & F.col("stable_object_key").isNotNull())
     f = f.select(F.lower(F.trim("stable_object_key")).alias("k"), F.substring(v, 1, 1).alias("c"), F.coalesce("authority_rank", F.lit(99)).alias("r"))
     g = f.groupBy("k").agg(F.min(F.struct("r", "c"))["c"].alias("winner"), F.sort_array(F.collect_set("c")).alias("cs"))
     return g.where(F.size("cs") > 1).select("k", "winner", F.array_join("cs", ",").alias("classes"))
@@ -170,13 +172,11 @@ def pair_labels(t):
     return p.groupBy("id", "lo", "hi").agg(F.count("*").alias("n"))
 
 
-@query("""WITH q AS (SELECT i AS q FROM (VALUES ('Customer#000000007'), ('Customer#000000012'), ('Customer#nope')) v(i)) SELECT q, count(c_custkey) AS n, CASE count(c_custkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'accepted' ELSE 'ambiguous' END AS status FROM q LEFT JOIN customer ON c_name = q GROUP BY 1""")
+@query("""WITH q AS (SELECT DISTINCT 'Customer#' || lpad(CAST(s_suppkey * 7 AS VARCHAR), 9, '0') AS q FROM supplier) SELECT q, count(c_custkey) AS n, CASE count(c_custkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'accepted' ELSE 'ambiguous' END AS status FROM q LEFT JOIN customer ON c_name = q GROUP BY 1""")
 def exact_identifier(t):
     """Exact identifiers resolve or fail; they never fall through to fuzzy search."""
-    c = t("customer").select("c_custkey", F.col("c_name").alias("q"))
-    asked = c.sparkSession.createDataFrame([("Customer#000000007",), ("Customer#000000012",), ("Customer#nope",)], "q string")
-    g = F.broadcast(asked).join(c.where(F.col("q").isin("Customer#000000007", "Customer#000000012", "Customer#nope")), "q", "left").groupBy("q").agg(F.count("c_custkey").alias("n"))
-    return g.select("q", "n", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "accepted").otherwise("ambiguous").alias("status"))
+    asked = t("supplier").select(F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") * 7).cast("string"), 9, "0")).alias("q")).distinct()
+    return S.resolve_exact(asked, t("customer").select(F.col("c_name").alias("term"), "c_custkey"), "q", "term")
 
 
 @query("""WITH o AS (SELECT o_custkey AS id, 'overlay' AS src, o_orderpriority AS badge FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT o_custkey AS id, 'core' AS src, o_orderpriority AS badge FROM orders WHERE o_custkey NOT IN (SELECT id FROM o)) SELECT id, src, string_agg(DISTINCT badge, ',' ORDER BY badge) AS badges FROM (SELECT * FROM o UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
@@ -204,12 +204,11 @@ def owner_propagation(t):
     """Owners handed down to all below them, stopping at nodes that are owners themselves."""
     k = F.col("o_orderkey")
     e = t("orders").where("o_orderkey > 0").select(F.floor(k / 3).alias("p"), k.alias("c"))
-    owners = e.where("p BETWEEN 10 AND 20").select(F.col("p").alias("node")).distinct()
     inner = e.where("NOT (p BETWEEN 10 AND 20)").withColumn("w", F.lit(1.0))
     first = e.where("p BETWEEN 10 AND 20").select(F.col("p").alias("owner"), F.col("c").alias("start"))
     below = G.walk_best(inner, first.select(F.col("start").alias("node")).distinct(), "p", "c", "w", "node", 7).select(F.col("root").alias("start"), "node")
     reached = first.select("owner", F.col("start").alias("node")).unionByName(first.join(below, "start").select("owner", "node"))
-    return reached.join(owners.limit(0), "node", "left_anti").groupBy("node").agg(F.min("owner").alias("owner"), F.countDistinct("owner").alias("n_owners"))
+    return reached.groupBy("node").agg(F.min("owner").alias("owner"), F.countDistinct("owner").alias("n_owners"))
 
 
 TREE = """RECURSIVE n AS (SELECT DISTINCT hierarchy_node_key AS k FROM hierarchy_nodes WHERE hierarchy_node_key IS NOT NULL),

@@ -69,13 +69,16 @@ def document_lines(t):
     return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_number"), "line")
 
 
-@query("""SELECT native_row_id, TRY_CAST(trim(substr(raw_row, 1, 6)) AS BIGINT) AS seq, trim(substr(raw_row, 7, 14)) AS name, TRY_CAST(trim(substr(raw_row, 27, 8)) AS DOUBLE) AS dec_deg FROM evidence_lake_native WHERE source_table = 'veloxis_fixed' AND length(raw_row) > 40 AND regexp_full_match(raw_row, '[ -~]*')""")
+@query("""SELECT DISTINCT native_row_id, field_name, CASE WHEN v = '' THEN NULL ELSE v END AS value
+FROM (SELECT native_row_id, field_name, trim(TRY(decode(encode(raw_row)[start_byte:end_byte]))) AS v FROM evidence_lake_native JOIN (SELECT * FROM native_layouts WHERE layout_kind = 'fixed_width') USING (source_table) WHERE raw_row IS NOT NULL)""")
 def fixed_width_parse(t):
-    from skyloom.sources.text import FixedField, fixed_width
+    """Every field that the layouts declare for a fixed-width table, cut by bytes from every line; a line too short for a field gives null."""
+    from skyloom.sources.text import cut_bytes
 
-    layout = [FixedField("seq", 1, 6, "bigint"), FixedField("name", 7, 20, "string"), FixedField("dec_deg", 27, 34, "double")]
-    lines = t("evidence_lake_native").where("source_table = 'veloxis_fixed' AND length(raw_row) > 40").where(F.col("raw_row").rlike("^[ -~]*$"))
-    return fixed_width(lines, "raw_row", layout, ["native_row_id"])
+    layouts = F.broadcast(t("native_layouts").where("layout_kind = 'fixed_width'").select("source_table", "field_name", "start_byte", "end_byte"))
+    rows = t("evidence_lake_native").where("raw_row IS NOT NULL").select("native_row_id", "source_table", "raw_row").join(layouts, "source_table")
+    v = cut_bytes(F.col("raw_row"), F.col("start_byte"), F.col("end_byte"))
+    return rows.select("native_row_id", "field_name", F.nullif(v, F.lit("")).alias("value")).distinct()
 
 
 # Identity -------------------------------------------------------------------
@@ -174,9 +177,22 @@ def class_buckets(t):
     return t("part").select("p_partkey", C.class_from_temperature(F.col("p_retailprice") * 8).alias("by_teff"), C.class_from_mass(F.col("p_size") / 10.0).alias("by_mass"))
 
 
-@query("""SELECT selected_fact_id, CASE WHEN regexp_matches(trim(value_raw), '^(WR|WN|WC|WO)') THEN 'WR' WHEN regexp_matches(trim(value_raw), '^(WD|D[ABCOQXZ])') THEN 'WD' WHEN regexp_matches(trim(value_raw), '^(esd|sd|d)?[OBAFGKMLTY]') THEN regexp_extract(trim(value_raw), '^(?:esd|sd|d)?([OBAFGKMLTY])', 1) END AS class FROM (SELECT DISTINCT selected_fact_id, value_raw FROM selected_facts WHERE quantity_key = 'spectral_type')""")
+#: The spellings of an attribute in the catalog, without case, blanks, hyphens and underscores.
+SPELLED = "lower(regexp_replace(quantity_key, '[ _-]+', '', 'g')) IN (SELECT lower(regexp_replace(unnest(list_append(other_names, quantity_key)), '[ _-]+', '', 'g')) FROM quantity_catalog WHERE quantity_key = 'spectral_type')"
+
+
+def spelled(t, attribute):
+    """The facts of an attribute under any of its catalog spellings."""
+    from skyloom.operators.wide import attribute_form
+
+    names = t("quantity_catalog").where(F.col("quantity_key") == attribute).select(F.explode(F.array_append("other_names", F.col("quantity_key"))).alias("n"))
+    forms = names.select(attribute_form(F.col("n")).alias("_form")).distinct()
+    return t("selected_facts").withColumn("_form", attribute_form(F.col("quantity_key"))).join(F.broadcast(forms), "_form", "left_semi").drop("_form")
+
+
+@query(f"""SELECT selected_fact_id, CASE WHEN regexp_matches(trim(value_raw), '^(WR|WN|WC|WO)') THEN 'WR' WHEN regexp_matches(trim(value_raw), '^(WD|D[ABCOQXZ])') THEN 'WD' WHEN regexp_matches(trim(value_raw), '^(esd|sd|d)?[OBAFGKMLTY]') THEN regexp_extract(trim(value_raw), '^(?:esd|sd|d)?([OBAFGKMLTY])', 1) END AS class FROM (SELECT DISTINCT selected_fact_id, value_raw FROM selected_facts WHERE {SPELLED})""")
 def spectral_class(t):
-    f = t("selected_facts").where("quantity_key = 'spectral_type'").select("selected_fact_id", "value_raw").distinct()
+    f = spelled(t, "spectral_type").select("selected_fact_id", "value_raw").distinct()
     return f.select("selected_fact_id", C.class_from_spectral_type(F.col("value_raw")).alias("class"))
 
 
@@ -195,6 +211,7 @@ SKY2 = "SELECT o_orderkey AS id, (o_orderkey * 37) % 3600 / 10.0 + (o_orderkey %
 
 @query(f"""WITH a AS ({SKY}), b AS ({SKY2}), p AS (SELECT a.id AS left_id, b.id AS right_id, degrees(acos(least(1.0, greatest(-1.0, sin(radians(a.dec)) * sin(radians(b.dec)) + cos(radians(a.dec)) * cos(radians(b.dec)) * cos(radians(a.ra) - radians(b.ra)))))) * 3600 AS sep FROM a JOIN b ON b.ra BETWEEN a.ra - 0.01 AND a.ra + 0.01 AND b.dec BETWEEN a.dec - 0.01 AND a.dec + 0.01) SELECT left_id, count(*) AS n_close FROM p WHERE sep <= 8 GROUP BY 1""")
 def sky_neighbours(t):
+    """Neighbour counts on plain bins of right ascension and declination; positions here keep off the seam and the poles (``sky_crossmatch`` has none)."""
     k = F.col("o_orderkey")
     sky = lambda off: t("orders").select(k.alias("id"), ((k * 37) % 3600 / 10.0 + (off * (k % 7)) / 3600.0).alias("ra"), ((k * 17) % 1700 / 10.0 - 85 + (off * (k % 5)) / 3600.0).alias("dec"))
     a = sky(0).withColumns({"bx": F.floor(F.col("ra") * 20), "by": F.floor((F.col("dec") + 90) * 20)})
@@ -203,15 +220,20 @@ def sky_neighbours(t):
     return near.groupBy(F.col("id").alias("left_id")).agg(F.count("*").alias("n_close"))
 
 
-@query(f"""WITH a AS ({SKY}), b AS (SELECT id + 0 AS id, ra, dec + 1 / 3600.0 AS dec FROM ({SKY})), p AS (SELECT a.id AS left_id, b.id AS right_id, round(degrees(acos(least(1.0, greatest(-1.0, sin(radians(a.dec)) * sin(radians(b.dec)) + cos(radians(a.dec)) * cos(radians(b.dec)) * cos(radians(a.ra) - radians(b.ra)))))) * 3600, 1) AS sep FROM a JOIN b ON a.ra = b.ra AND b.dec BETWEEN a.dec - 0.01 AND a.dec + 0.01) SELECT left_id, min(right_id) AS right_id, CAST(70 + 10 AS INTEGER) AS score, 'high' AS tier FROM p WHERE sep <= 8 GROUP BY 1""")
+@query(f"""WITH a AS (SELECT *, (id % 13) * 0.25 AS mag, id % 29 AS pm FROM ({SKY})), b AS (SELECT id, ra, dec + 1 / 3600.0 AS dec, (id % 7) * 0.5 AS mag, id % 31 AS pm FROM (SELECT min(id) AS id, ra, dec FROM ({SKY}) GROUP BY 2, 3)),
+p AS (SELECT a.id AS left_id, b.id AS right_id, degrees(acos(least(1.0, greatest(-1.0, sin(radians(a.dec)) * sin(radians(b.dec)) + cos(radians(a.dec)) * cos(radians(b.dec)) * cos(radians(a.ra) - radians(b.ra)))))) * 3600 AS sep, abs(a.mag - b.mag) AS dmag, abs(a.pm - b.pm) AS dpm FROM a JOIN b ON b.ra BETWEEN a.ra - 0.1 AND a.ra + 0.1 AND b.dec BETWEEN a.dec - 0.01 AND a.dec + 0.01 WHERE a.id % 10 <> 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(sep, 3), dmag, right_id) AS rn FROM p WHERE sep <= 8),
+s AS (SELECT left_id, right_id, CAST(CASE WHEN sep <= 2 THEN 70 WHEN sep <= 5 THEN 55 WHEN sep <= 15 THEN 35 ELSE 15 END + CASE WHEN dmag <= 0.5 THEN 20 WHEN dmag <= 1.5 THEN 10 ELSE 0 END + CASE WHEN dpm <= 5 THEN 15 WHEN dpm <= 20 THEN 8 ELSE 0 END AS INTEGER) AS score FROM w WHERE rn = 1)
+SELECT left_id, right_id, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 55 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'reject' END AS tier FROM s""")
 def sky_crossmatch(t):
+    """The nearest neighbour of every position not already matched by an id, with its confidence."""
     k = F.col("o_orderkey")
-    a = t("orders").select(k.alias("id"), ((k * 37) % 3600 / 10.0).alias("ra"), ((k * 17) % 1700 / 10.0 - 85).alias("dec"))
-    b = a.withColumn("dec", F.col("dec") + 1 / 3600.0)
-    # Equal positions occur: separations are compared to a tenth of an arcsecond so that ties fall to the smaller id.
-    m = P.sky_crossmatch(a, b.groupBy("ra", "dec").agg(F.min("id").alias("id")), 8.0)
-    score = C.crossmatch_score(F.round("sep_arcsec", 1), F.lit(1.0), F.lit(30.0))
-    return m.select("left_id", "right_id", score.alias("score"), C.crossmatch_tier(score).alias("tier"))
+    sky = t("orders").select(k.alias("id"), ((k * 37) % 3600 / 10.0).alias("ra"), ((k * 17) % 1700 / 10.0 - 85).alias("dec"))
+    a = sky.withColumn("mag", (F.col("id") % 13) * 0.25)
+    b = sky.groupBy("ra", "dec").agg(F.min("id").alias("id")).withColumns({"dec": F.col("dec") + 1 / 3600.0, "mag": (F.col("id") % 7) * 0.5})
+    m = P.sky_crossmatch(a, b, 8.0, matched=sky.where("id % 10 = 0").select("id"))
+    score = C.crossmatch_score(F.col("sep_arcsec"), F.col("dmag"), F.abs(F.col("left_id") % 29 - F.col("right_id") % 31))
+    return m.select("left_id", "right_id", score.alias("score")).withColumn("tier", C.crossmatch_tier(F.col("score")))
 
 
 POINTS = "SELECT o_orderkey AS id, (o_orderkey * 7919) % 1999 - 999.0 AS x, (o_orderkey * 104729) % 1999 - 999.0 AS y, (o_custkey * 1299709) % 1999 - 999.0 AS z FROM orders"
@@ -304,13 +326,13 @@ def terminal_leaves(t):
 @query("""WITH d AS (SELECT c_custkey, lower(c_name) AS term FROM customer), x AS (SELECT *, CASE WHEN term = '0000012' THEN 0 WHEN starts_with(term, '0000012') THEN 1 WHEN contains(term, '0000012') THEN 2 WHEN abs(length(term) - 7) <= 2 AND levenshtein(term, '0000012') <= 2 THEN 3 END AS tier FROM d) SELECT c_custkey, CAST(tier AS INTEGER) AS tier FROM x WHERE tier = (SELECT min(tier) FROM x)""")
 def search_tiers(t):
     terms = t("customer").select("c_custkey", F.lower("c_name").alias("term"))
-    return S.tiered_search(terms, "0000012", limit=1_000_000).select("c_custkey", "tier")
+    return S.search_tier(terms, "0000012").select("c_custkey", "tier")
 
 
 @query("""SELECT c_custkey FROM customer WHERE abs(length(lower(c_name)) - 18) <= 3 AND levenshtein(lower(c_name), 'custemer#000001024') <= 3""")
 def search_fuzzy(t):
     terms = t("customer").select("c_custkey", F.lower("c_name").alias("term"))
-    return S.tiered_search(terms, "custemer#000001024", limit=1_000_000).where("tier = 3").select("c_custkey")
+    return S.search_tier(terms, "custemer#000001024").where("tier = 3").select("c_custkey")
 
 
 @query("""WITH g AS (SELECT DISTINCT c_custkey, substr(n, CAST(i AS BIGINT), 3) AS gram FROM (SELECT c_custkey, n, unnest(range(1, length(n) - 1)) AS i FROM (SELECT c_custkey, lower(c_name) AS n FROM customer) WHERE length(n) >= 3)) SELECT c_custkey, count(*) AS shared FROM g WHERE gram IN ('000', '001', '012', '123') GROUP BY 1 HAVING count(*) >= 2""")
@@ -372,10 +394,15 @@ def score_rank(t):
 
 @query(f"""WITH a AS ({RANKED % (0.5, 0.3)}), b AS ({RANKED % (0.3, 0.5)}), j AS (SELECT id, abs(a.rank - b.rank) AS d, a.rank AS ra, b.rank AS rb FROM a JOIN b USING (id)) SELECT count(*) AS n, median(d) AS median_delta, round(quantile_cont(d, 0.95), 6) AS p95_delta, max(d) AS max_delta, count(*) FILTER (WHERE ra <= 100 AND rb <= 100) AS top100_overlap FROM j""")
 def ab_rank_audit(t):
+    from skyloom.storage import Scratch
+
     a = _ranked(t, 0.5, 0.3).select("id", F.col("rank").alias("ra"))
     b = _ranked(t, 0.3, 0.5).select("id", F.col("rank").alias("rb"))
-    j = a.join(b, "id").withColumn("d", F.abs(F.col("ra") - F.col("rb")))
-    return j.agg(F.count("*").alias("n"), F.median("d").alias("median_delta"), F.round(F.percentile("d", F.lit(0.95)), 6).alias("p95_delta"), F.max("d").alias("max_delta"), F.count_if((F.col("ra") <= 100) & (F.col("rb") <= 100)).alias("top100_overlap"))
+    scratch = Scratch(a.sparkSession, "audit")
+    j = scratch.write(a.join(b, "id").withColumn("d", F.abs(F.col("ra") - F.col("rb"))))
+    middle = R.exact_quantiles(scratch, j.withColumn("all", F.lit(0)), ["all"], "d", {"median_delta": 0.5, "p95_delta": 0.95})
+    counts = j.agg(F.count("*").alias("n"), F.max("d").alias("max_delta"), F.count_if((F.col("ra") <= 100) & (F.col("rb") <= 100)).alias("top100_overlap"))
+    return counts.crossJoin(F.broadcast(middle)).select("n", "median_delta", F.round("p95_delta", 6).alias("p95_delta"), "max_delta", "top100_overlap")
 
 
 @query("""SELECT tag, n, least(28.0, round_even(-log10(n / CAST(total AS DOUBLE)) * 7.0, 0)) AS rarity FROM (SELECT event_type || '-' || (event_id % 100 // 30) AS tag, count(*) AS n, (SELECT count(*) FROM events) AS total FROM events GROUP BY 1)""")

@@ -76,7 +76,7 @@ def period_tolerance_match(t):
     """A near join inside an equi join; only unambiguous partners."""
     a = t("orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("p"))
     b = t("orders").where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("k2"), "o_custkey", F.col("o_totalprice").alias("h"))
-    near = a.join(b, "o_custkey").where(F.abs(F.col("p") - F.col("h")) <= F.greatest(F.lit(100.0), F.col("h") * 0.1))
+    near = R.near_join(a, b, "o_custkey", "p", "h", 100.0, 0.1)
     return near.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("k2").alias("k2")).where("n = 1").select("o_orderkey", "k2")
 
 
@@ -156,6 +156,14 @@ def table_fingerprint(t):
     return R.fingerprint(t("orders"), F.col("o_orderkey"))
 
 
+WORDS = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS HUGEINT)), 0) AS VARCHAR)" for i in range(8))
+
+
+@query(f"""WITH r AS (SELECT sha256(to_json(struct_pack({', '.join(f'{c} := {c}' for c in ('event_id', 'event_type', 'user_id'))}))) AS h FROM events) SELECT count(*) AS n_rows, sha256(concat_ws('|', CAST(coalesce(bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0) AS VARCHAR), {WORDS})) AS digest FROM r""")
+def events_digest(t):
+    return R.table_digest(t("events").select("event_id", "event_type", "user_id"))
+
+
 @query()
 def table_digest(t):
     return R.table_digest(t("lineitem"))
@@ -163,7 +171,12 @@ def table_digest(t):
 
 @query("""SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS top FROM events GROUP BY 1""")
 def quantiles(t):
-    return t("events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("med"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("top"))
+    """Exact quantiles of groups of any size, by the places of their values."""
+    from skyloom.storage import Scratch
+
+    e = t("events")
+    q = R.exact_quantiles(Scratch(e.sparkSession, "quantiles"), e, ["event_type"], "value", {"med": 0.5, "p95": 0.95})
+    return q.join(e.groupBy("event_type").agg(F.max("value").alias("top")), "event_type").select("event_type", F.round("med", 6).alias("med"), F.round("p95", 6).alias("p95"), "top")
 
 
 @query("""SELECT o_custkey, round(sum(o_totalprice ORDER BY o_orderkey), 4) AS total FROM orders GROUP BY 1""")
@@ -200,9 +213,10 @@ def weighted_mean(t):
 
 @query("""SELECT p_partkey, best, runner_up, CAST(n AS BIGINT) AS n FROM (SELECT l_partkey AS p_partkey, l_suppkey AS best, lead(l_suppkey) OVER w AS runner_up, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER w AS rn FROM (SELECT l_partkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_partkey ORDER BY q DESC, l_suppkey)) WHERE rn = 1""")
 def runner_up(t):
+    from skyloom.operators.evidence import select_sets
+
     g = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("q"), "l_suppkey")
-    return g.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("best"), F.lead("l_suppkey").over(w).alias("runner_up"), F.count("*").over(Window.partitionBy("l_partkey")).alias("n"), F.row_number().over(w).alias("rn")).where("rn = 1").drop("rn")
+    return select_sets(g, "l_partkey", "l_suppkey", F.desc("q")).select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("best"), "runner_up", F.col("n_sets").alias("n"))
 
 
 @query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS surrogate_id FROM orders""")

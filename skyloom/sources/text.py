@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +121,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def empty_relation(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def cut_bytes(line: Column, start: Column, end: Column) -> Column:
+    """Bytes ``start`` to ``end`` (1-based, inclusive) of a line, trimmed; null where they cut a character or the layout gives no place."""
+    part = F.encode(line, "UTF-8").substr(start, end - start + 1).cast("string")
+    return F.trim(F.call_function("try_validate_utf8", part))

@@ -1,5 +1,6 @@
 """Generic operators, functions, graphs, search, identity and evidence."""
 
+import math
 import random
 
 import pytest
@@ -25,9 +26,9 @@ def test_text(spark):
     assert one(spark, X.normalize_name(lit("  NGC-12 / b ")), X.normalize_name(lit("--")), X.boolish(lit(" Yes")), X.boolish(lit("maybe"))) == ["ngc 12 b", None, True, None]
     assert one(spark, X.trigrams(lit("abca")), X.trigrams(lit("ab"))) == [["abc", "bca"], []]
     assert one(spark, X.identifier_kind(lit("HIP 12")), X.identifier_number(lit("HIP 12")), X.identifier_kind(lit("Sirius")), X.identifier_kind(lit("12345678901"))) == ["hip", "12", None, "gaia"]
-    assert one(spark, X.candidate_designation(lit("toi 0123.1")), X.candidate_designation(lit("TOI-7")), X.deep_sky_designation(lit("Messier 031"))) == ["TOI-123.01", None, "m 31"]
+    assert one(spark, X.candidate_designation(lit("toi 0123.1")), X.candidate_designation(lit("TOI-7")), X.candidate_designation(lit("tic 0042")), X.candidate_designation(lit("TOI-0")), X.candidate_reason(lit("tic x")), X.candidate_reason(lit("toi 9.00")), X.candidate_reason(lit("tide")), X.deep_sky_designation(lit("Messier 031"))) == ["TOI-123.01", "TOI-7", "TIC 42", None, "malformed_identifier", "identifier_out_of_range", None, "m 31"]
     assert one(spark, X.sexagesimal_degrees(lit("-00 30 00")), X.sexagesimal_degrees(lit("12:00:00"), True), X.sexagesimal_degrees(lit("x"))) == [-0.5, 180.0, None]
-    assert one(spark, X.masked_vector(lit("[1.0 -- 3]")), X.ordinal_label(lit(0)), X.ordinal_label(lit(27))) == [[1.0, None, 3.0], "a", "ab"]
+    assert one(spark, X.masked_vector(lit("[1.0 -- 3]")), *[X.ordinal_label(lit(n)) for n in (0, 27, 701, 702, 18277, 18278, -1)]) == [[1.0, None, 3.0], "a", "ab", "zz", "aaa", "zzz", "aaaa", None]
     assert one(spark, X.match_rank(lit("alpha cen b"), "cen alpha"), X.match_rank(lit("alpha"), "alpha"), X.match_rank(lit("alphab"), "alpha")) == [2, 0, 1]
 
 
@@ -104,6 +105,10 @@ def test_expected_counts(spark):
     R.expect_counts(df, "o", {"a": 2, "b": 1})
     with pytest.raises(ValueError):
         R.expect_counts(df, "o", {"a": 3})
+    many = spark.range(12_000).select(F.col("id").cast("string").alias("o"))
+    R.expect_counts(many, "o", {str(i): 1 for i in range(12_000)})
+    assert [tuple(r) for r in R.count_differences(df.unionByName(spark.createDataFrame([(None,)], "o string")), "o", {"a": 2, "c": 4}).orderBy("outcome").collect()] == [("b", 0, 1), ("c", 4, 0), ("null", 0, 1)]
+    R.expect_counts(df.limit(0), "o", {})
 
 
 def test_reachability_and_components(spark, rows):
@@ -117,11 +122,13 @@ def test_reachability_and_components(spark, rows):
 
 def test_crossmatch_against_brute_force(spark):
     rng = random.Random(8)
-    left = [(i, rng.uniform(10, 10.5), rng.uniform(-5, -4.5)) for i in range(150)]
-    right = [(i, a + rng.uniform(-0.01, 0.01), d + rng.uniform(-0.01, 0.01)) for i, a, d in left]
+    places = [(rng.uniform(10, 10.5), rng.uniform(-5, -4.5)) for _ in range(60)] + [(rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(60)]
+    # Across the seam of right ascension, and around both poles.
+    places += [(rng.uniform(-0.005, 0.005) % 360, rng.uniform(-40, 40)) for _ in range(60)] + [(rng.uniform(0, 360), s * rng.uniform(89.99, 90)) for s in (1, -1) for _ in range(40)]
+    left = [(i, a, d) for i, (a, d) in enumerate(places)]
+    right = [(i, (a + rng.uniform(-0.01, 0.01)) % 360, max(-90.0, min(90.0, d + rng.uniform(-0.01, 0.01)))) for i, a, d in left]
     schema = "id int, ra double, dec double"
     got = {r["left_id"]: r["right_id"] for r in P.sky_crossmatch(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 30.0).collect()}
-    import math
 
     def sep(p, q):
         a, d, b, e = map(math.radians, (p[1], p[2], q[1], q[2]))
@@ -132,7 +139,18 @@ def test_crossmatch_against_brute_force(spark):
         near = min((sep(p, q), q[0]) for q in right)
         if near[0] <= 30:
             want[p[0]] = near[1]
-    assert got == want
+    assert got == want and len(want) > 150
+    empty = spark.createDataFrame([(1, None, 2.0)], schema)
+    assert P.sky_crossmatch(empty, spark.createDataFrame(right, schema), 30.0).count() == 0 and P.sky_crossmatch(empty, empty, 30.0).count() == 0
+
+
+def test_crossmatch_ties_and_matched(spark):
+    a = spark.createDataFrame([(1, 359.9999, 0.0, 5.0), (2, 40.0, 89.9999, 5.0), (3, 7.0, 7.0, None)], "id int, ra double, dec double, mag double")
+    b = spark.createDataFrame([(10, 0.0001, 0.0, 9.0), (11, 0.0001, 0.0, 5.5), (12, 220.0, 89.9999, None), (13, 7.0, 7.0, 1.0)], "id int, ra double, dec double, mag double")
+    got = {r["left_id"]: (r["right_id"], r["dmag"]) for r in P.sky_crossmatch(a, b, 8.0).collect()}
+    assert got == {1: (11, 0.5), 2: (12, None), 3: (13, None)}
+    left = {r["left_id"] for r in P.sky_crossmatch(a, b, 8.0, matched=a.where("id = 1").select("id")).collect()}
+    assert left == {2, 3}
 
 
 def test_tiers_stop_at_the_first_hit(spark):
