@@ -141,3 +141,24 @@ def match_rank(name: Column, query: str) -> Column:
     for w in words:
         every = every & F.contains(name, F.lit(w))
     return F.when(name == query, 0).when(name.startswith(query), 1).when(every, 2)
+
+
+def compact_position(c: Column) -> tuple[Column, Column]:
+    """``hhmmss.ss+ddmmss.s`` (also ``hhmmm+ddmm`` with tenths of minutes) as degrees; null for other texts."""
+    full, short = r"^\s*([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]*)?)\s*([+-])([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]*)?)\s*$", r"^\s*([0-9]{2})([0-9]{3})([+-])([0-9]{2})([0-9]{2})\s*$"
+    part = lambda p, i: F.regexp_extract(c, p, i).try_cast("double")
+    sign = lambda p, i: F.when(F.regexp_extract(c, p, i) == "-", -1.0).otherwise(1.0)
+    ra = F.when(c.rlike(full), 15 * (part(full, 1) + part(full, 2) / 60 + part(full, 3) / 3600)).when(c.rlike(short), 15 * (part(short, 1) + part(short, 2) / 600))
+    dec = F.when(c.rlike(full), sign(full, 4) * (part(full, 5) + part(full, 6) / 60 + part(full, 7) / 3600)).when(c.rlike(short), sign(short, 3) * (part(short, 4) + part(short, 5) / 60))
+    return ra, dec
+
+
+def first_token(c: Column) -> Column:
+    """The first blank-separated token; null for a blank text."""
+    return F.nullif(F.regexp_extract(c, r"^\s*(\S+)", 1), F.lit(""))
+
+
+def power_of_ten(c: Column) -> Column:
+    """10 to the number in a text; null for no number or one out of range."""
+    v = c.try_cast("double")
+    return F.when(F.abs(v) < 300, F.pow(F.lit(10.0), v))

@@ -27,6 +27,11 @@ EVALUATORS: dict[str, Callable[[Column, dict], Column]] = {
     "one_of": lambda c, p: c.isin(*p["values"]),
     "bit": lambda c, p: c.bitwiseAND(p["mask"]) != 0,
     "matches": lambda c, p: c.rlike(p["pattern"]),
+    "equals": lambda c, p: c == p["value"],
+    "above_to": lambda c, p: (c > p["low"]) & (c <= p["high"]),
+    "class_in": lambda c, p: F.upper(F.trim(c)).isin(*p["values"]),
+    # Of objects whose status is one of those allowed; a missing one is the first.
+    "below": lambda c, p: (c < p["value"]) & F.lower(F.coalesce(F.col(p["status"]), F.lit(p["allowed"][0]))).isin(*p["allowed"]),
 }
 
 

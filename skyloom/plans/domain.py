@@ -172,7 +172,7 @@ def parallax_distance(t):
     return t("part").select("p_partkey", F.round(A.parallax_distance_pc(p), 6).alias("pc"), F.round(F.col("p_size") / F.nullif(A.half_width(F.col("p_size") - 1.0, F.col("p_size") + 2.0), F.lit(0.0)), 6).alias("snr"))
 
 
-@query("""SELECT p_partkey, CASE WHEN t >= 30000 THEN 'O' WHEN t >= 10000 THEN 'B' WHEN t >= 7500 THEN 'A' WHEN t >= 6000 THEN 'F' WHEN t >= 5200 THEN 'G' WHEN t >= 3700 THEN 'K' WHEN t >= 2400 THEN 'M' ELSE 'L' END AS by_teff, CASE WHEN m >= 16 THEN 'O' WHEN m >= 2.1 THEN 'B' WHEN m >= 1.4 THEN 'A' WHEN m >= 1.04 THEN 'F' WHEN m >= 0.8 THEN 'G' WHEN m >= 0.45 THEN 'K' WHEN m >= 0.08 THEN 'M' ELSE 'L' END AS by_mass FROM (SELECT p_partkey, p_retailprice * 8 AS t, p_size / 10.0 AS m FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN t >= 30000 THEN 'O' WHEN t >= 10000 THEN 'B' WHEN t >= 7500 THEN 'A' WHEN t >= 6000 THEN 'F' WHEN t >= 5200 THEN 'G' WHEN t >= 3700 THEN 'K' WHEN t >= 2400 THEN 'M' ELSE 'L' END AS by_teff, CASE WHEN m >= 16 THEN 'O' WHEN m >= 2.1 THEN 'B' WHEN m >= 1.4 THEN 'A' WHEN m >= 1.04 THEN 'F' WHEN m >= 0.85 THEN 'G' WHEN m >= 0.65 THEN 'K' WHEN m >= 0.08 THEN 'M' ELSE 'L' END AS by_mass FROM (SELECT p_partkey, p_retailprice * 8 AS t, p_size / 10.0 AS m FROM part)""")
 def class_buckets(t):
     return t("part").select("p_partkey", C.class_from_temperature(F.col("p_retailprice") * 8).alias("by_teff"), C.class_from_mass(F.col("p_size") / 10.0).alias("by_mass"))
 

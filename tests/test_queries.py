@@ -9,7 +9,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
-MODULES = [importlib.import_module(f"skyloom.plans.{m}") for m in ("cleaning", "relational", "domain", "catalog", "science")]
+MODULES = [importlib.import_module(f"skyloom.plans.{m}") for m in ("cleaning", "relational", "domain", "catalog", "science", "compile")]
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLES = {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
