@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions.numbers import STATED
+from skyloom.functions.units import SPELLINGS
 from skyloom.operators import rejects as R
 from skyloom.operators import units as U
 from skyloom.operators import wide as W
@@ -119,8 +121,59 @@ QUERIES = {
     "p5_found": p5_found, "p5_wide": p5_wide,
 }
 NO_VALUE = "('', '-', '--', '---', '...', '?', '??', 'n/a', 'na', 'n.a.', 'nan', 'null', 'none', 'nil', 'unknown', 'inf', '-inf', '+inf')"
+FILLS = "(-9999, -999.99, -99999, -9999.99, -999.9, -999)"
+#: The spellings of every unit with its conversion, as rows.
+SPELLED_UNITS = ", ".join(f"('{u}', '{form}')" for u, forms in SPELLINGS.items() for form in forms)
+
+
+def _form(c: str) -> str:
+    """SQL of the normal form of a unit text."""
+    return rf"""regexp_replace(replace(replace(regexp_replace(lower(translate({c}, '☉⊙⊕−', '☉☉⊕-')), '[\s_.^*·]+', '', 'g'), '☉', 'sun'), '⊕', 'earth'), '^\((.*)\)$', '\1')"""
+
+
+def _number(c: str) -> str:
+    """SQL of the number that a text begins with, null for a fill number."""
+    v = rf"TRY_CAST(regexp_replace(translate(regexp_extract({c}, '{STATED}', 1), '−,', '-'), '\s*[x×]\s*10\^?', 'e') AS DOUBLE)"
+    return f"CASE WHEN abs({v}) < 1e60 AND {v} NOT IN {FILLS} THEN {v} END"
+
+
+P4_SQL = rf"""
+WITH sp AS (SELECT quantity_key, unit_key, conversion, factor, shift, unit_key = common_unit AS is_common, form FROM unit_conversions JOIN (SELECT u, f AS form FROM (VALUES {SPELLED_UNITS}) v(u, f)) ON u = unit_key UNION SELECT quantity_key, unit_key, conversion, factor, shift, unit_key = common_unit, replace(lower(unit_key), '_', '') FROM unit_conversions),
+s AS (SELECT quantity_key, form, min(unit_key) AS unit_key FROM sp GROUP BY 1, 2),
+e AS (SELECT evidence_id, source_record_id, quantity_key, normalized_value AS nv, {_number('value_raw')} AS num, trim(regexp_extract(value_raw, '{STATED}', 3)) AS rest, unit_raw FROM stellar_parameter_evidence WHERE quantity_key IN (SELECT quantity_key FROM unit_conversions)),
+o AS (SELECT *, CASE WHEN lower(rest) NOT IN {NO_VALUE} THEN rest WHEN lower(trim(unit_raw)) NOT IN {NO_VALUE} THEN unit_raw END AS own FROM e WHERE num IS NOT NULL),
+t AS (SELECT source_id, release_id, source_field AS quantity_key, unnest([{{'p': 1, 't': source_unit}}, {{'p': 2, 't': regexp_extract(source_description, '\[unit: (.+)\]\s*$', 1)}}, {{'p': 3, 't': regexp_extract(source_description, '; unit (.+)$', 1)}}, {{'p': 4, 't': regexp_extract(source_description, 'given in (.+)$', 1)}}, {{'p': 5, 't': regexp_extract(source_description, ' pipeline \((.+)\)\s*$', 1)}}]) AS x FROM source_field_dispositions),
+d AS (SELECT t.source_id, t.release_id, t.quantity_key, arg_min(s.unit_key, x.p) AS unit_key FROM t JOIN s ON s.quantity_key = t.quantity_key AND s.form = {_form('x.t')} GROUP BY 1, 2, 3),
+r AS (SELECT source_record_id, min(source_id) AS source_id, min(release_id) AS release_id FROM source_records GROUP BY 1),
+u AS (SELECT o.*, CASE WHEN own IS NULL THEN d.unit_key ELSE s.unit_key END AS unit_key FROM o LEFT JOIN s ON s.quantity_key = o.quantity_key AND s.form = {_form('own')} LEFT JOIN r USING (source_record_id) LEFT JOIN d ON d.source_id = r.source_id AND d.release_id = r.release_id AND d.quantity_key = o.quantity_key),
+c AS (SELECT u.*, CASE conversion WHEN 'linear' THEN num * factor + shift WHEN 'log10' THEN CASE WHEN num * factor > 0 THEN log10(num * factor) + shift END WHEN 'exp10' THEN CASE WHEN abs(num) < 300 THEN pow(10, num) * factor END END AS common FROM u JOIN unit_conversions USING (quantity_key, unit_key)),
+k AS (SELECT case_id || '#' || claim_id AS record_key, predicate, value, unit, source_excerpt FROM (SELECT case_id, source_excerpt, unnest(expected.claims, recursive := true) FROM seed_golden_cases) WHERE predicate IN (SELECT quantity_key FROM unit_conversions)),
+n AS (SELECT record_key, predicate, coalesce(nullif(trim(unit), ''), nullif(trim(regexp_extract(value, '{STATED}', 3)), ''), nullif(regexp_extract(source_excerpt, '(?:^|[ =])' || replace(replace(trim(regexp_extract(value, '{STATED}', 1)), '.', '\.'), '+', '\+') || '\s+([^()=]+?)(?: for the | *\(|\.(?:\s|$)|;|$)', 1), '')) AS said FROM k WHERE {_number('value')} IS NOT NULL)
+SELECT evidence_id AS record_key, min(unit_key) AS unit_key FROM c WHERE nv IS NULL OR isnan(nv) OR abs(nv) >= 1e60 OR nv IN {FILLS} OR abs(nv - common) > 0.01 * abs(common) GROUP BY 1
+UNION ALL SELECT record_key, min(s.unit_key) FROM n JOIN s ON s.quantity_key = predicate AND s.form = {_form('said')} WHERE s.unit_key <> (SELECT any_value(common_unit) FROM unit_conversions q WHERE q.quantity_key = predicate) GROUP BY 1"""
+P5_CELLS = f"""WITH c AS (SELECT quantity_key AS q, value_type AS vt, lower(regexp_replace(unnest(list_append(other_names, quantity_key)), '[ _-]+', '', 'g')) AS form FROM quantity_catalog),
+ev AS (SELECT evidence_id, min(normalized_value) AS ev FROM stellar_parameter_evidence WHERE NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) GROUP BY 1),
+f AS (SELECT lower(trim(stable_object_key)) AS k, q, vt, trim(value_raw) AS t, selected_fact_id AS id, authority_rank AS r, selected_at AS s, ev,
+ CASE WHEN NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) THEN normalized_value END AS v
+ FROM selected_facts JOIN c ON form = lower(regexp_replace(quantity_key, '[ _-]+', '', 'g')) LEFT JOIN ev USING (evidence_id) WHERE trim(stable_object_key) <> ''),
+g AS (SELECT k, q, id, r, s, t, coalesce(v, ev) AS num FROM f WHERE CASE vt WHEN 'double' THEN coalesce(v, ev) IS NOT NULL WHEN 'bigint' THEN regexp_full_match(t, '[+-]?[0-9]+') AND t <> '-9999'
+ WHEN 'boolean' THEN lower(t) IN ('1', 'true', 't', 'yes', 'y', 'on', '0', 'false', 'f', 'no', 'n', 'off') WHEN 'timestamp' THEN TRY_CAST(t AS TIMESTAMP) IS NOT NULL AND regexp_matches(t, '^[0-9]{{4}}-') ELSE t IS NOT NULL AND lower(t) NOT IN {NO_VALUE} END)"""
+#: The attributes of the catalog of these tables and their types.
+P5_TYPES = {
+    "bigint": "companion_count discovery_year observation_count",
+    "boolean": "has_flares is_controversial is_variable",
+    "double": "age eccentricity effective_temperature lithium_abundance log10_surface_gravity luminosity magnetic_field mass mean_density metallicity_m_h orbital_period planet_mass planet_radius projected_rotation_velocity radial_velocity rotation_period stellar_radius",
+    "string": "discovery_method spectral_type variability_class",
+    "timestamp": "announced_at last_observed_at",
+}
+P5_VALUES = {
+    "double": "num", "bigint": "TRY_CAST(t AS BIGINT)", "boolean": "lower(t) IN ('1', 'true', 't', 'yes', 'y', 'on')", "string": "t",
+    "timestamp": "TRY_CAST(CASE WHEN t LIKE '%Z' THEN t[:-2] ELSE t END AS TIMESTAMP)",
+}
+P5_COLUMNS = ", ".join(f"max({P5_VALUES[kind]}) FILTER (WHERE q = '{name}') AS {name}" for kind, names in P5_TYPES.items() for name in names.split())
 #: Only nodes with one parent hang in a tree of these tables; the operator also settles others.
 ORACLES: dict[str, str] = {
+    "p4_found": P4_SQL,
     "p3_found": """
 WITH RECURSIVE n AS (SELECT DISTINCT hierarchy_node_key AS k FROM hierarchy_nodes WHERE hierarchy_node_key IS NOT NULL),
 e AS (SELECT DISTINCT parent_node_key AS p, child_node_key AS c FROM hierarchy_edges WHERE parent_node_key IN (SELECT k FROM n) AND child_node_key IN (SELECT k FROM n)),
@@ -141,13 +194,11 @@ r AS (SELECT k, k AS root, 0 AS depth FROM n WHERE k NOT IN (SELECT c FROM e) UN
 up AS (SELECT k, k AS a FROM r UNION ALL SELECT up.k, m.p FROM up JOIN m ON m.c = up.a),
 d AS (SELECT a, count(*) - 1 AS descendants FROM up GROUP BY a)
 SELECT n.k AS hierarchy_node_key, coalesce(root, '') AS root_node_key, CAST(coalesce(depth, -1) AS INTEGER) AS depth, descendants FROM n LEFT JOIN r ON r.k = n.k LEFT JOIN d ON d.a = n.k""",
+    "p5_wide": f"""
+{P5_CELLS},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, q ORDER BY r NULLS LAST, s DESC NULLS LAST, id) AS rn FROM g) WHERE rn = 1)
+SELECT k AS stable_object_key, {P5_COLUMNS} FROM (SELECT DISTINCT lower(trim(stable_object_key)) AS k FROM selected_facts WHERE trim(stable_object_key) <> '') LEFT JOIN b USING (k) GROUP BY 1""",
     "p5_found": f"""
-WITH c AS (SELECT quantity_key AS q, value_type AS vt, lower(regexp_replace(unnest(list_append(other_names, quantity_key)), '[ _-]+', '', 'g')) AS form FROM quantity_catalog),
-ev AS (SELECT evidence_id, min(normalized_value) AS ev FROM stellar_parameter_evidence WHERE NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) GROUP BY 1),
-f AS (SELECT lower(trim(stable_object_key)) AS k, q, vt, trim(value_raw) AS t, selected_fact_id AS id, authority_rank AS r, selected_at AS s, ev,
- CASE WHEN NOT isnan(normalized_value) AND abs(normalized_value) < 1e60 AND normalized_value NOT IN (-9999, -999.99) THEN normalized_value END AS v
- FROM selected_facts JOIN c ON form = lower(regexp_replace(quantity_key, '[ _-]+', '', 'g')) LEFT JOIN ev USING (evidence_id) WHERE trim(stable_object_key) <> ''),
-g AS (SELECT k, q, id, r, s FROM f WHERE CASE vt WHEN 'double' THEN coalesce(v, ev) IS NOT NULL WHEN 'bigint' THEN regexp_full_match(t, '[+-]?[0-9]+') AND t <> '-9999'
- WHEN 'boolean' THEN lower(t) IN ('1', 'true', 't', 'yes', 'y', 'on', '0', 'false', 'f', 'no', 'n', 'off') WHEN 'timestamp' THEN TRY_CAST(t AS TIMESTAMP) IS NOT NULL AND regexp_matches(t, '^[0-9]{{4}}-') ELSE t IS NOT NULL AND lower(t) NOT IN {NO_VALUE} END)
+{P5_CELLS}
 SELECT k AS stable_object_key, q AS quantity_key, id AS selected_fact_id FROM (SELECT *, row_number() OVER (PARTITION BY k, q ORDER BY r NULLS LAST, s DESC NULLS LAST, id) AS rn FROM g) WHERE rn = 1""",
 }
