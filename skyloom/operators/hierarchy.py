@@ -164,10 +164,11 @@ class Forest:
         write = self.scratch.write
         keys = nodes.select(F.col(node).alias("key")).where("key IS NOT NULL").distinct()
         self.ids = write(keys.withColumn("id", F.monotonically_increasing_id()))
-        ends = links.select(F.col(parent).alias("pk"), F.col(child).alias("ck")).where("pk IS NOT NULL AND ck IS NOT NULL").distinct()
+        ends = links.select(F.col(parent).alias("pk"), F.col(child).alias("ck")).where("pk IS NOT NULL AND ck IS NOT NULL")
         ids = self.ids
-        both = ends.join(ids.select(F.col("key").alias("ck"), F.col("id").alias("c")), "ck").join(ids.select(F.col("key").alias("pk"), F.col("id").alias("p")), "pk")
-        self.links = write(both.select("p", "c", "pk"))
+        # Repeated links are dropped as pairs of longs, after the joins on text keys.
+        both = ends.join(ids.select(F.col("key").alias("ck"), F.col("id").alias("c")), "ck").select("pk", "c").join(ids.select(F.col("key").alias("pk"), F.col("id").alias("p")), "pk")
+        self.links = write(both.select("p", "c").distinct())
         self.tree = self._peel()
         self.places = self._tour()
 
@@ -180,7 +181,13 @@ class Forest:
         its parents are.
         """
         write, links = self.scratch.write, self.links
-        degree = links.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("pk", "p"))["p"].alias("p"))
+        degree = write(links.groupBy("c").agg(F.count("*").alias("n"), F.min("p").alias("p")))
+        several = degree.where("n > 1")
+        if not several.isEmpty():
+            # Of several parents the one with the smallest key.
+            named = links.join(several.select("c", "n"), "c").join(self.ids.select(F.col("id").alias("p"), "key"), "p")
+            named = named.groupBy("c").agg(F.max("n").alias("n"), F.min(F.struct("key", "p"))["p"].alias("p"))
+            degree = degree.where("n = 1").unionByName(write(named))
         inner = links.select(F.col("p").alias("v")).distinct()
         # Tops are roots (no parent) and junctions.
         start = inner.join(degree.withColumnRenamed("c", "v"), "v", "left")
