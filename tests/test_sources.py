@@ -121,3 +121,45 @@ def test_json_table_and_tiles(spark, tmp_path, rows):
     p = spark.createDataFrame([("t", 2, 1.0, 2.0, 3.0), ("t", 1, 0.5, 0.0, 0.0), ("u", 3, 0.0, 0.0, 0.0)], "tile string, id long, x double, y double, z double")
     got = {r["tile"]: (r["n"], bytes(r["payload"])) for r in A.tile_payloads(p, "tile", "id").collect()}
     assert got["t"] == (2, struct.pack("<qfff", 1, 0.5, 0, 0) + struct.pack("<qfff", 2, 1, 2, 3)) and got["u"][0] == 1
+
+
+def test_lenient_compressed_and_empty(spark, tmp_path, rows):
+    import gzip
+
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
+        f.write("a,b,c\n1, x ,\n2\n3,y,z,extra\n")
+    assert rows(T.read_lenient(spark, str(tmp_path / "a.csv.gz"), ["a", "b", "c"])) == [("1", "x", None), ("2", None, None), ("3", "y", "z")]
+    df = T.read_lenient(spark, str(tmp_path / "a.csv.gz"), ["a", "b", "c"])
+    T.write_csv(df, str(tmp_path / "out"))
+    assert rows(spark.read.csv(str(tmp_path / "out"), header=True)) == rows(df)
+    empty = T.empty_relation(spark, "a int, b string")
+    assert empty.count() == 0 and empty.columns == ["a", "b"]
+
+
+def test_byte_cuts(spark):
+    df = spark.createDataFrame([("ab cdé f",), ("é",), (None,), ("abc",)], "s string")
+    got = [r[0] for r in df.select(T.cut_bytes(F.col("s"), F.lit(3), F.lit(7))).collect()]
+    assert got == ["cdé", "", None, "c"]
+    assert [r[0] for r in df.select(T.cut_bytes(F.col("s"), F.lit(1), F.lit(6))).collect()][0] is None  # cuts the é
+
+
+def test_layers_and_guards(spark, tmp_path):
+    from skyloom.functions.astro import is_finite, tile_id
+    from skyloom.functions.text import edit_limit
+    from skyloom.operators.relational import col_or_null
+    from skyloom.operators.tags import require_known, require_unique
+    from skyloom.session import Layer
+
+    df = spark.createDataFrame([(1, "ok"), (2, "ok")], "id int, status string")
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    layer = Layer(spark, str(tmp_path), "core")
+    assert layer.exists("t") and not layer.exists("u") and layer.columns("t") == ["id", "status"] and layer.columns("u") == []
+    assert layer.attach("t") == ["core_t"] and spark.sql("SELECT count(*) FROM core_t").first()[0] == 2
+    require_known(df, "status", ["ok"])
+    require_unique(df, ["id"])
+    for bad in (lambda: require_known(df, "status", ["fine"]), lambda: require_unique(df, ["status"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert [r[0] for r in df.select(col_or_null(df, "nope", "int")).collect()] == [None, None] and df.select(col_or_null(df, "id", "string")).first()[0] == "1"
+    values = spark.createDataFrame([("vega", 1.0, 27), ("betelgeuse x", float("nan"), 0)], "s string, v double, c long")
+    assert [tuple(r) for r in values.select(edit_limit(F.col("s")), is_finite(F.col("v")), tile_id(F.col("c"), 4)).collect()] == [(1, True, "d4-01b"), (3, False, "d4-000")]
