@@ -163,3 +163,15 @@ def test_layers_and_guards(spark, tmp_path):
     assert [r[0] for r in df.select(col_or_null(df, "nope", "int")).collect()] == [None, None] and df.select(col_or_null(df, "id", "string")).first()[0] == "1"
     values = spark.createDataFrame([("vega", 1.0, 27), ("betelgeuse x", float("nan"), 0)], "s string, v double, c long")
     assert [tuple(r) for r in values.select(edit_limit(F.col("s")), is_finite(F.col("v")), tile_id(F.col("c"), 4)).collect()] == [(1, True, "d4-01b"), (3, False, "d4-000")]
+
+
+def test_first_and_last_of_a_stream(spark, tmp_path):
+    from skyloom.streaming.history import first_and_last
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.csv").write_text("k,2021-01-02T05:00:00\nk,2021-01-02T03:00:00\nm,2021-01-02T04:00:00\nk,2021-01-03T01:00:00\n")
+    stream = spark.readStream.schema("k string, t timestamp").csv(str(tmp_path / "in"))
+    query = first_and_last(stream, ["k"], "t", "1 hour").writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.sql("SELECT k, date_format(first_observed, 'dHH') AS f, date_format(last_observed, 'dHH') AS l, n_events FROM seen ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [("k", "203", "205", 2), ("k", "301", "301", 1), ("m", "204", "204", 1)]
