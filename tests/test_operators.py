@@ -93,6 +93,25 @@ def test_or_join_has_no_nested_loop(spark, rows):
     assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
 
 
+def test_or_join_lists_pairs_without_exchanging_them(spark, rows):
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 1, 2, 3, 4])
+    left, right = [(i, 1 if i % 2 else some(), some()) for i in range(80)] + [(None, 1, 3)], [(i, 1 if i % 3 else some(), some()) for i in range(50)]
+    twice = (left + [(5, 2, 2), (5, None, 4), (5, 2, 2), (None, 4, 4)], right + [(7, 3, None), (7, 1, 1), (7, 1, 1)])
+    for l, r, group in ((left, right, False), (*twice, True)):
+        want = {}
+        for i, a, b in l:
+            for j, x, y in r:
+                if a is not None and a == x or b is not None and b == y:
+                    want[i, j] = min(want.get((i, j), 1), 0 if a is not None and a == x else 1)
+        for task in (10**6, 100):  # as one join; in blocks, of which either side is dealt out
+            out = R.or_join(spark.createDataFrame(l, "i int, a int, b int"), spark.createDataFrame(r, "j int, x int, y int"), [("a", "x"), ("b", "y")], "i", "j", task)
+            assert rows(out) == sorted([(i, j, k) for (i, j), k in want.items()], key=repr)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert ("Aggregate [l" in plan) == group
+        assert out.rdd.getNumPartitions() > 20
+
+
 def test_json_merge_and_source_delta(spark, rows):
     assert one(spark, R.merge_json(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":null,"c":"3"}'))) == ['{"a":"1","c":"3"}']
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "k string, d string")
